@@ -36,8 +36,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.near_dedup import near_duplicates
+
+    return near_duplicates(spark, _table(spark, sf_dir, "documents"), n=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_token_counts, op9_near_dedup)}
 
 
 #: What DuckDB says of the same tables; operators that learn, encode or search have none.
