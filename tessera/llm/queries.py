@@ -30,6 +30,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat_format import digests, format_examples
+
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return digests(format_examples(rows))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_counts import token_counts
 
@@ -43,11 +52,33 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_token_counts, op9_near_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_chat_format, op4_token_counts, op9_near_dedup)}
 
 
 #: What DuckDB says of the same tables; operators that learn, encode or search have none.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_chat_format": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM rows
+), formatted AS (
+  SELECT *, '<|turn|>' || regexp_replace(role, e, r, 'g') || '<|says|>' || regexp_replace(text, e, r, 'g') || '<|end|>' AS piece
+  FROM ranked, (SELECT '(<|\[)(\\*)(/?s>|\|[a-z_]+\|>|/?INST\]|</?SYS>>)' AS e, '\1\\\2\3' AS r)
+), sized AS (
+  SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id ORDER BY k) AS upto,
+    max(k) OVER (PARTITION BY conv_id) AS last FROM formatted
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(upto) FILTER (role = 'assistant' OR k = last)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
