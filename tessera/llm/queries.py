@@ -45,14 +45,26 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_classifier import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.near_dedup import near_duplicates
 
     return near_duplicates(spark, _table(spark, sf_dir, "documents"), n=2)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_chat_format, op4_token_counts, op9_near_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_chat_format, op4_token_counts, op5_quality_classifier, op9_near_dedup, op10_pii)}
 
 
 #: What DuckDB says of the same tables; operators that learn, encode or search have none.
