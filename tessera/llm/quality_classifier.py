@@ -214,3 +214,17 @@ def quality_scores(documents: DataFrame, labels: DataFrame, learn_from: DataFram
     table, sizes = labelled.sample(learn_from if learn_from is not None else documents, labels, "quality", per_class)
     known = sum(sizes.values())
     return score(documents, fit(table, sizes), sizes.get(1, 0) / known if known else 0.5, threshold)
+
+
+def keep_rows(documents: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, per_class: int = 1500, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents, all columns, with a score of threshold or more; no shuffle."""
+    table, sizes = labelled.sample(learn_from if learn_from is not None else documents, labels, "quality", per_class)
+    model = fit(table, sizes)
+    if model is None:
+        return documents
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in ta.blocks(batches):
+            yield part.filter(pa.array(model.probability(pool(ta.text_column(part), model.words, model.makes)) >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)

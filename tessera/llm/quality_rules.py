@@ -204,6 +204,15 @@ def platt(logit: np.ndarray, y: np.ndarray, sizes: dict[int, int], steps: int =
     return float(a), float(b)
 
 
+def base_failed(block: Block) -> np.ndarray:
+    return (block.n_words < MIN_WORDS) | (100 * block.n_repeat_words > MAX_REPEAT_PERCENT * block.n_words)
+
+
+def verdict(block: Block, model: Model | None, threshold: float) -> np.ndarray:
+    """Is the document kept."""
+    return ~base_failed(block) & (model.probability(block) >= threshold if model is not None else True)
+
+
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
 
 
@@ -213,7 +222,7 @@ def score(documents: DataFrame, model: Model | None, threshold: float = THRESHOL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in ta.blocks(batches):
             block = analyse(ta.text_column(part), model is not None)
-            failed = (block.n_words < MIN_WORDS) | (100 * block.n_repeat_words > MAX_REPEAT_PERCENT * block.n_words)
+            failed = base_failed(block)
             p = model.probability(block) if model is not None else np.ones(len(failed))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0)] + [pa.array(x) for x in (block.n_words, block.word_chars, block.n_symbols, block.n_dup_lines, block.n_repeat_words, failed, ~failed & (p >= threshold), p)],
@@ -227,3 +236,16 @@ def quality_rules(documents: DataFrame, labels: DataFrame, learn_from: DataFrame
     """Statistics and verdicts of `documents`; labelled rows of `learn_from` (itself, if None) train the model."""
     table, sizes = labelled.sample(learn_from if learn_from is not None else documents, labels, "quality", per_class)
     return score(documents, fit(table, sizes), threshold)
+
+
+def keep_rows(documents: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, per_class: int = 1000, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents, all columns, that are kept; no shuffle."""
+    table, sizes = labelled.sample(learn_from if learn_from is not None else documents, labels, "quality", per_class)
+    model = fit(table, sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in ta.blocks(batches):
+            block = analyse(ta.text_column(part), model is not None)
+            yield part.filter(pa.array(verdict(block, model, threshold)))
+
+    return documents.mapInArrow(run, documents.schema)

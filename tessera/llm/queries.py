@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -21,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
 
-    return pack(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), with_ids=False).drop("ids")
+    return pack(spark, _table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_ids=False).drop("ids")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_counts import token_counts
 
-    return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
