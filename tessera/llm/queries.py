@@ -51,6 +51,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.vector_search import nearest
+
+    return nearest(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.near_dedup import near_duplicates
 
@@ -64,7 +70,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_chat_format, op4_token_counts, op5_quality_classifier, op9_near_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_chat_format, op4_token_counts, op5_quality_classifier, op8_vector_search, op9_near_dedup, op10_pii)}
 
 
 #: What DuckDB says of the same tables; operators that learn, encode or search have none.
