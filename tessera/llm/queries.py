@@ -51,6 +51,21 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.scratch import Scratch
+    from tessera.llm.training_order import read_shards, write_shards
+
+    folder = Scratch(spark, "shards").path("written")
+    n = write_shards(spark, _table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), folder)
+    return read_shards(spark, folder, n).drop("ids")
+
+
+def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.merge_dropout import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.vector_search import nearest
 
@@ -70,7 +85,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_chat_format, op4_token_counts, op5_quality_classifier, op8_vector_search, op9_near_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_chat_format, op4_token_counts, op5_quality_classifier, op6_training_order, op7_merge_dropout, op8_vector_search, op9_near_dedup, op10_pii)}
 
 
 #: What DuckDB says of the same tables; operators that learn, encode or search have none.
