@@ -16,7 +16,7 @@ sequences are full but the last, which needs padding to `length`.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +69,8 @@ def with_stream_offsets(encoded: DataFrame) -> tuple[DataFrame, int]:
     return encoded.join(offsets, "task").withColumn("stream", F.col("base") + F.col("start")).drop("base", "start", "task"), at
 
 
-def cut(streamed: DataFrame, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
-    """Pieces of documents in sequences of `length`."""
+def cut(streamed: DataFrame, length: int = LENGTH, with_ids: bool = True, slot: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Pieces of documents in sequences of `length`; with `slot` also what that gives for their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,15 +86,16 @@ def cut(streamed: DataFrame, length: int = LENGTH, with_ids: bool = True) -> Dat
             wide = [np.frombuffer(x.as_buffer(), "<u2") for x in ids]
             parts = [wide[r][b:e] for r, b, e in zip(row.tolist(), (begin - stream[row]).tolist(), (end - stream[row]).tolist(), strict=True)]
             crc = np.fromiter((zlib.crc32(p.astype("<u4").tobytes()) for p in parts), np.int64, len(parts))
+            more = [pa.array(slot(seq))] if slot else []
             yield pa.RecordBatch.from_arrays(
                 [
                     null_ids.take(pa.array(row)), pa.array(begin - stream[row]), pa.array(end - begin), pa.array(crc), pa.array(n[row]), pa.array(seq), pa.array(begin - seq * length),
-                    pa.array([p.tobytes() for p in parts] if with_ids else [None] * len(parts), pa.binary()),
+                    pa.array([p.tobytes() for p in parts] if with_ids else [None] * len(parts), pa.binary()), *more,
                 ],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"] + ["slot"] * len(more),
             )
 
-    return streamed.select("doc_id", "stream", "doc_tokens", "ids").mapInArrow(run, _PIECES)
+    return streamed.select("doc_id", "stream", "doc_tokens", "ids").mapInArrow(run, _PIECES + ", slot long" * (slot is not None))
 
 
 def pack(spark: SparkSession, documents: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
