@@ -369,7 +369,8 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, n: int = 5, perce
     sized = scratch.keep(loose.join(reps, F.col("node") == F.col("rep")).select("rep", F.col("root").alias("component"), "set_key", "n_shingles"), "loose")
     totals = sized.groupBy("component").agg(F.sum("n_shingles").alias("total"))
     large = [r["component"] for r in totals.where(F.col("total") > component_shingles).select("component").collect()]  # few: each has millions of shingles
-    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(sized.select("rep", "component", "set_key"), "rep")
+    # The members' number has no bound, so they are never broadcast.
+    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(sized.select("rep", "component", "set_key").hint("merge"), "rep")
     sets = _sets_of(texts, n)
     small = sets.where(~F.col("component").isin(large)) if large else sets
     grouped = small.groupBy("component").agg(F.collect_set(F.struct("rep", "shingles")).alias("members"))
