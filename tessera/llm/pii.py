@@ -3,7 +3,8 @@
 Method. Base spans come from four patterns with checks. The field labels words (runs without
 white space) as beginning or continuing an email address, IP address, card or phone number, from
 features of their shapes: the shape with its digit counts, the shapes of both neighbours, the
-number of digits, the first and last kind of character, and whether the digits pass the checks.
+number of digits, the first and last kind of character, and whether the digits of the word, or
+of its run of all-digit words, pass the checks.
 It is trained, in numpy, from a small labelled table (`labelled_table`, made here by a rule from
 a few dozen templates, positive and negative), and decoded by Viterbi in batches of sequences.
 A sequence is a neighbourhood of words with a digit or @: all others can't hold such data, and
@@ -174,15 +175,33 @@ def _side_feature(word: str, side: str) -> int:
     return _value(f"{side} {shape if 'd' in shape else 'word'}")
 
 
+def _group_features(words: list[str]) -> list[int]:
+    """For each word, is it in a group of all-digit words that passes the checks of a card: a whole
+    run of them, or the shortest group from where one begins. Punctuation ends a run."""
+    core = ["".join(w[slice(*_trim(w))].split("-")) for w in words]
+    digits = [c.isascii() and c.isdigit() for c in core]
+    out: list[int] = []
+    while (k := len(out)) < len(words):
+        stop = k
+        while stop < len(words) and digits[stop] and (stop == k or words[stop - 1][-1:] in "0123456789"):
+            stop += 1
+        ends = [stop, *range(k + 1, stop)]
+        end = next((e for e in ends if 12 <= sum(map(len, core[k:e])) <= 19 and luhn("".join(core[k:e]))), None)
+        size = max((end or k + 1) - k, 1)
+        out += [_value(f"run {end is not None} {size > 1} {digits[k]}")] * size
+    return out
+
+
 def _features(words: list[str]) -> list[tuple[int, ...]]:
     around = ["", *words, ""]
-    return [(*_own_features(w), _side_feature(around[i], "before"), _side_feature(around[i + 2], "after")) for i, w in enumerate(words)]
+    group = _group_features(words)
+    return [(*_own_features(w), _side_feature(around[i], "before"), _side_feature(around[i + 2], "after"), group[i]) for i, w in enumerate(words)]
 
 
-N_FEATURES = 10
+N_FEATURES = 11
 
 
-def labelled_table(rows: int = 520, seed: int = 11) -> list[tuple[list[str], list[int]]]:
+def labelled_table(rows: int = 1000, seed: int = 11) -> list[tuple[list[str], list[int]]]:
     """(words, labels) of short invented sentences; kinds as in KINDS, and many near misses."""
     r = random.Random(seed)
     n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
