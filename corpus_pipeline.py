@@ -29,8 +29,8 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among those of verdicts."""
-    return docs.join(verdicts.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """Rows of docs whose doc_id is among those of verdicts, which are too many to broadcast."""
+    return docs.join(verdicts.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
