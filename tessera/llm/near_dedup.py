@@ -378,6 +378,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, n: int = 5, perce
     for component in large:
         members = scratch.keep(sets.where(F.col("component") == component).distinct().select("rep", F.expr("cast(octet_length(shingles) / 8 as long)").alias("n_shingles"), "shingles"), f"large-{component}")
         classes = classes.unionByName(_large_component(members, component, percent, scratch))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(reps.select("set_key", "rep"), "set_key", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    own_key = F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")
+    out = signed.select("doc_id", "n_shingles", own_key).join(reps.select("set_key", "rep"), "set_key", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("root", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -77,6 +77,8 @@ def test_edges(spark, hard, no_documents):
     assert same[9] == same[10] == 9  # equal texts
     assert all(r["kept"] for r in got if r["n_shingles"] == 0)
     assert near_dedup.near_duplicates(spark, no_documents).count() == 0
+    nulls = spark.createDataFrame([(1, "same text"), (None, "same text"), (None, "same text")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_dedup.near_duplicates(spark, nulls, n=2).collect()) == [(0, 0, True), (0, 0, True), (1, 1, True)]
 
 
 def test_components(spark):
