@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring, text
+from tessera.operators import markdown
 
 
 def resolve(memories: DataFrame, id_or_alias: str) -> DataFrame:
@@ -93,3 +94,32 @@ def search(memories: DataFrame, vectors: DataFrame, query_embedding: list[float]
         parents = memories.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("id")).distinct()
         found = found.join(parents, "id", "left_semi" if has_children else "left_anti")
     return found.select("id", "name", "tags", F.bround("score", 4).alias("score"), text.snippet(F.col("text"), snippet_lines).alias("snippet")).orderBy(F.desc("score"), "id")
+
+
+def append(memories: DataFrame, parent: str, child: DataFrame, now: Column) -> DataFrame:
+    """memories with child (name, text, tags) below the memory with that id or alias, whose tags it
+    inherits; without such a memory nothing is added."""
+    above = resolve(memories, parent).select(F.col("id").alias("parent_id"))
+    rows = child.crossJoin(F.broadcast(above.limit(1))).withColumn("seq", F.lit(1))
+    return add(memories, rows, now)
+
+
+def import_markdown(memories: DataFrame, document: DataFrame, now: Column, parent_id: int | None = None, tags: list[str] = ()) -> DataFrame:
+    """memories with one for each section of a document (path, text).
+
+    A section is below the one that `markdown.parents` gives, or else below parent_id; tags tell
+    the file, the import and the level.
+    """
+    found = markdown.parents(markdown.sections(document, "path", "text"), "path")
+    top = memories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    order = Window.partitionBy("path").orderBy("section")  # the sections of one document
+    numbered = found.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(top)).withColumn("id", (F.col("top") + F.col("place")).cast("int"))
+    places = numbered.select(F.col("path").alias("p_path"), F.col("section").alias("p_section"), F.col("id").alias("p_id"))
+    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
+    own = F.array(*[F.lit(t) for t in tags], F.concat(F.lit("imported-from-"), stem), F.lit("imported-markdown"), F.concat(F.lit("level-"), F.col("level").cast("string")))
+    rows = numbered.join(places, (F.col("path") == F.col("p_path")) & (F.col("parent") == F.col("p_section")), "left").select(
+        "id", F.col("title").alias("name"), F.col("content").alias("text"), own.alias("tags"), F.coalesce("p_id", F.lit(parent_id).cast("int")).alias("parent_id")
+    )
+    aliases = unique_aliases(memories.select("id", "name").unionByName(rows.select("id", "name"))).select("id", "alias")
+    made = rows.join(aliases, "id").withColumn("timestamp", now).withColumn("lines_count", text.lines_count(F.col("text"))).withColumn("size_kb", text.size_kb(F.col("text")))
+    return memories.unionByName(made.select(memories.columns))

@@ -120,3 +120,13 @@ def low_confidence(best: DataFrame) -> DataFrame:
 def empty_results(spark: SparkSession) -> DataFrame:
     """What an empty query gives."""
     return spark.createDataFrame([], "query string, id string, file_path string, chunk_type string, content string, score double, combined double")
+
+
+def filter_help() -> str:
+    """What the filters of `search` take."""
+    return (
+        "file_types: extensions, separated by commas (cs,razor,cshtml,c,h), in any case.\n"
+        "chunk_types: whole types, separated by commas: class, interface, record, method, property, enum, local_function, switch_expression, global_usings, "
+        "top_level_statements, sliding_window, generated, file, razor-code, razor-html, c-function, c-struct, c-enum, c-typedef, c-macro; "
+        "declarations may end in -auth, -security, -config, and classes in -controller, -service."
+    )

@@ -82,6 +82,10 @@ class Index:
         changed.unpersist()
         return {"added": 0, "modified": 0, "removed": 0, "failed": 0} | counts | {"chunks": stats["n"]}
 
+    def verify(self, directories: dict[str, str]) -> dict[str, dict]:
+        """Bring every project (name -> directory) up to date, as after a start."""
+        return {project: self.update(project, directory) for project, directory in directories.items()}
+
     def with_vectors(self, pieces: DataFrame) -> DataFrame:
         """Chunks with their vectors; equal contents are embedded once."""
         keyed = pieces.withColumn("content_hash", text.cache_key(F.col("content")))

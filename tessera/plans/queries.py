@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed, scoring, text
@@ -618,6 +618,29 @@ def memory_export_markdown(spark, sf):
     return blocks.select(F.array_join(F.transform("sort_path", lambda x: x["id"].cast("string")), "/").alias("path"), "block")
 
 
+@query(f"""WITH {_MEM_SQL}, b AS (SELECT item_id, text, 3 * row_number() OVER (ORDER BY item_id) AS parent, row_number() OVER (ORDER BY item_id) AS k FROM benchmark)
+SELECT (SELECT max(id) FROM mem) + k AS id, 'item' || item_id AS name, CASE WHEN lang IS NULL THEN NULL ELSE b.parent END AS parent_id, array_to_string(list_filter([lang, CASE WHEN lower(tag2) <> lower(lang) THEN tag2 END, 'New'], lambda x: x IS NOT NULL), '|') AS tags FROM b LEFT JOIN mem ON mem.id = b.parent""")
+def memory_add(spark, sf):
+    m = _memories(spark, sf).withColumn("alias", F.lit(None).cast("string"))
+    b = table(spark, sf, "benchmark").withColumn("seq", F.row_number().over(Window.orderBy("item_id")))
+    new = b.select("seq", F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("name"), "text", F.array(F.lit("New"), F.lower(F.lit("NEW"))).alias("tags"), (F.col("seq") * 3).cast("long").alias("parent_id"))
+    top = m.agg(F.max("id").alias("top"))
+    return memory.add(m, new, as_of()).crossJoin(F.broadcast(top)).where("id > top").select(F.col("id").cast("long").alias("id"), "name", "parent_id", F.array_join("tags", "|").alias("tags"))
+
+
+@query("SELECT source AS directory, string_agg(DISTINCT lang, ',' ORDER BY lang) AS projects FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1")
+def shared_directories(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("lang").alias("project"), F.col("source").alias("directory"))
+    return statistics.shared_directories(d).select("directory", F.array_join("projects", ",").alias("projects"))
+
+
+@query("SELECT e.event_id, e.user_id::VARCHAR AS directory, n_name AS project FROM events e JOIN nation ON n_nationkey % 5 = e.user_id % 5 AND n_nationkey < 10")
+def change_fan_out(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("directory"), (F.col("user_id") % 5).alias("k"))
+    watched = table(spark, sf, "nation").where("n_nationkey < 10").select(F.col("n_name").alias("project"), (F.col("n_nationkey") % 5).cast("long").alias("k"))
+    return watch.to_projects(e.select("event_id", F.col("directory").alias("name"), F.col("k").alias("directory")), watched.withColumnRenamed("k", "directory")).select("event_id", F.col("name").alias("directory"), "project")
+
+
 # Streaming's batch twins ------------------------------------------------------------------------------
 
 _BURST_SQL = """WITH e AS (SELECT user_id, event_id, event_type, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 14400000000 THEN 1 ELSE 0 END AS apart FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -225,3 +225,15 @@ def test_contained_chunks_go(spark):
     rows = [("f", "m", 1, 1, 10, "a"), ("f", "m", 2, 2, 5, "b"), ("f", "n", 3, 2, 5, "c"), ("f", "m", 4, 12, 13, "a"), ("f", "m", 5, 1, 10, "d")]
     c = spark.createDataFrame(rows, "file_path string, chunk_type string, id int, start_line int, end_line int, content string")
     assert sorted(r["id"] for r in windows.without_contained(c).collect()) == [1, 3]
+
+
+def test_import_and_append(spark):
+    m = memories(spark)
+    doc = spark.createDataFrame([("x/notes.md", "# A\na\n## B\nb\n# C\nc")], "path string, text string")
+    got = {r["id"]: r for r in memory.import_markdown(m, doc, F.lit(NOW), 2, ["t"]).collect()}
+    assert [(got[i]["name"], got[i]["parent_id"]) for i in (3, 4, 5)] == [("A", 2), ("B", 3), ("C", 2)]
+    assert got[4]["tags"] == ["t", "imported-from-notes", "imported-markdown", "level-2"]
+    child = spark.createDataFrame([("Kid", "k", ["B", "z"])], "name string, text string, tags array<string>")
+    kid = next(r for r in memory.append(m, "two", child, F.lit(NOW)).collect() if r["id"] == 3)
+    assert kid["parent_id"] == 2 and kid["tags"] == ["b", "z"]
+    assert memory.append(m, "none", child, F.lit(NOW)).count() == 2
