@@ -44,6 +44,7 @@ class ByteBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._ranks = {bytes(byte[c] for c in k): i for k, i in spec["model"]["vocab"].items() if k not in self.special}
         self._encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self._ranks, special_tokens={})
+        self.kind = "<u2" if max([*self._ranks.values(), *self.special.values()]) < 1 << 16 else "<u4"
         self._split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def begins_with_space(self) -> np.ndarray:
@@ -87,58 +88,71 @@ class PartEncoder:
         self._begins = self.bpe.begins_with_space()
 
     def value(self, packed: bytes):
-        """What is kept of a part's ids (little-endian, unsigned, 32 bits)."""
+        """What is kept of a part's ids (packed as `pack` does)."""
         raise NotImplementedError
 
-    def pack(self, text: str) -> bytes:
-        return np.asarray(self.bpe.encode(text), "<u4").tobytes()
-
-    def cached(self, texts: list[list[str]]) -> dict:
-        """A dict that has all parts of texts, the first of each left out."""
-        need = set(itertools.chain.from_iterable(p[1:] for p in texts))
-        new = need - self._now.keys()
-        if len(self._now) + len(new) > self._limit:
-            self._old, self._now = self._now, {}
-            new = need
-        held = new & self._old.keys()
-        for p in held:
-            self._now[p] = self._old[p]
-        alone = [p for p in new - held if not p or " " in p or self.bpe.has_special(p)]
-        for p in alone:
-            self._now[p] = self.value(self.pack(" " + p))
-        joined = list((new - held).difference(alone))
+    def packed(self, ids) -> bytes:
+        """Ids as little-endian unsigned numbers of 16 bits, or 32 for larger vocabularies."""
+        return np.asarray(ids, self.bpe.kind).tobytes()
+
+    def _encode(self, parts: set[str]) -> dict:
+        """Values of parts that no cache has."""
+        alone = [p for p in parts if not p or " " in p or self.bpe.has_special(p)]
+        found = {p: self.value(self.packed(self.bpe.encode(" " + p))) for p in alone}
+        joined = list(parts.difference(alone))
+        width = np.dtype(self.bpe.kind).itemsize
         for i in range(0, len(joined), 20_000):
             some = joined[i : i + 20_000]
             ids = self.bpe.plain(" " + " ".join(some))
-            ends = [*np.append(np.flatnonzero(self._begins[ids]), len(ids)).tolist()]
-            packed = ids.astype("<u4").tobytes()
-            for p, a, b in zip(some, ends[:-1], ends[1:], strict=True):
-                self._now[p] = self.value(packed[4 * a : 4 * b])
-        return self._now
+            ends = (width * np.append(np.flatnonzero(self._begins[ids]), len(ids))).tolist()
+            packed = self.packed(ids)
+            found |= {p: self.value(packed[a:b]) for p, a, b in zip(some, ends[:-1], ends[1:], strict=True)}
+        return found
+
+    def values(self, parts: list[str]) -> list:
+        """The value of each part, from the cache or made."""
+        out = list(map(self._now.get, parts))
+        at = [i for i, v in enumerate(out) if v is None]
+        if at:
+            new = {parts[i] for i in at}
+            held = {p: self._old[p] for p in new & self._old.keys()}
+            found = held | self._encode(new - held.keys())
+            for i in at:
+                out[i] = found[parts[i]]
+            if len(self._now) + len(found) > self._limit:
+                self._old, self._now = self._now, {}
+            self._now |= found
+        return out
+
+    def of_texts(self, texts: list[str]) -> list[tuple[str, list]]:
+        """(first part, values of the others) of each text."""
+        parts = [safe_parts(t) for t in texts]
+        flat = list(itertools.chain.from_iterable(p[1:] for p in parts))
+        got, at, out = self.values(flat), 0, []
+        for p in parts:
+            out.append((p[0], got[at : at + len(p) - 1]))
+            at += len(p) - 1
+        return out
 
 
 class Counter(PartEncoder):
     """Numbers of ids of texts."""
 
     def value(self, packed: bytes) -> int:
-        return len(packed) // 4
+        return len(packed) // np.dtype(self.bpe.kind).itemsize
 
     def __call__(self, texts: list[str]) -> list[int]:
-        parts = [safe_parts(t) for t in texts]
-        get = self.cached(parts).__getitem__
-        return [len(self.bpe.encode(p[0])) + sum(map(get, p[1:])) for p in parts]
+        return [len(self.bpe.encode(first)) + sum(rest) for first, rest in self.of_texts(texts)]
 
 
 class Packer(PartEncoder):
-    """Ids of texts as little-endian unsigned 32-bit numbers."""
+    """Ids of texts, packed."""
 
     def value(self, packed: bytes) -> bytes:
         return packed
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [safe_parts(t) for t in texts]
-        get = self.cached(parts).__getitem__
-        return [self.pack(p[0]) + b"".join(map(get, p[1:])) for p in parts]
+        return [self.packed(self.bpe.encode(first)) + b"".join(rest) for first, rest in self.of_texts(texts)]
 
 
 _made: dict[tuple, object] = {}

@@ -39,18 +39,20 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def encode(documents: DataFrame, tokenizer: str, separator: int | None = SEPARATOR) -> DataFrame:
     """Each row's ids as 16-bit (vocabularies up to 65,536) numbers, with its task and its start there."""
-    end = b"" if separator is None else np.asarray([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = bpe.worker_copy(bpe.Packer, tokenizer)
+        end = b"" if separator is None else pack.packed([separator])
+        if pack.bpe.kind != "<u2":
+            raise ValueError("ids of this vocabulary don't fit 16 bits")
         task, at = TaskContext.get().partitionId(), 0
         for part in ta.blocks(batches, limit=1 << 20):
-            ids = [np.frombuffer(x + end, "<u4") for x in pack(ta.text_column(part).to_pylist())]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids = [x + end for x in pack(ta.text_column(part).to_pylist())]
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), task, np.int32)), pa.array(starts), part.column(0), pa.array(n), pa.array([i.astype("<u2").tobytes() for i in ids], pa.binary())],
+                [pa.array(np.full(len(n), task, np.int32)), pa.array(starts), part.column(0), pa.array(n), pa.array(ids, pa.binary())],
                 names=["task", "start", "doc_id", "doc_tokens", "ids"],
             )
 
