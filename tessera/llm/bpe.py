@@ -17,7 +17,7 @@ import re
 import numpy as np
 
 #: A cache holds two generations of about this many parts.
-CACHE_PARTS = 250_000
+CACHE_PARTS = 450_000
 
 _TIGHT = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
