@@ -170,7 +170,10 @@ def nearest(spark: SparkSession, embeddings: DataFrame, k: int = 20, every: int
 
     hit = pa.struct([("less", pa.float64()), ("other", pa.int64())])
     found = wanted.groupBy("range").cogroup(candidates.groupBy("range")).applyInArrow(search, "class long, hits array<struct<less:double,other:bigint>>")
-    best = found.groupBy("class").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k + 1).alias("hits"))
+    # A hit that several windows found comes with equal scores, so repeats are neighbours once sorted.
+    merged = found.groupBy("class").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("all"))
+    first = F.filter("all", lambda h, i: (i == 0) | (F.get("all", i - 1)["other"] != h["other"]))
+    best = merged.select("class", F.slice(first, 1, k + 1).alias("hits"))
     each = best.select("class", F.inline("hits")).join(classes.select(F.col("class").alias("other"), "members"), "other")
     ranked = (
         each.select("class", "less", F.explode("members").alias("vec_id"))
