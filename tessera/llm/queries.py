@@ -33,8 +33,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.chat_format import digests, format_examples
 
-    hard = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return digests(format_examples(rows))
 
