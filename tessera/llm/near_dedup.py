@@ -48,7 +48,7 @@ SKETCH = 128  # minwise tokens, of which 4 bits each are kept
 LOOSE = 0.62
 CLOSE = 0.75
 LEADER_LINK = 0.4
-NODE = 48
+NODE = 1024
 DEPTH = 7
 COMPONENT_SHINGLES = 4_000_000
 LEADER_SHINGLES = 200_000
@@ -153,6 +153,23 @@ def _sketch_rows(values: pa.Array) -> np.ndarray:
     return np.frombuffer(values.buffers()[2], np.uint8)[offs[0] : offs[-1]].reshape(len(values), SKETCH // 2)
 
 
+def _groups(i: np.ndarray, j: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first member, other members) of each connected group of the links i - j among `size` members."""
+    linked = np.zeros((size, size), bool)
+    linked[i, j] = linked[j, i] = True
+    todo = linked.any(0)
+    while todo.any():
+        first = int(todo.argmax())
+        group, new = np.zeros(size, bool), np.zeros(size, bool)
+        group[first] = new[first] = True
+        while new.any():
+            new = linked[new].any(0) & ~group
+            group |= new
+        todo &= ~group
+        group[first] = False
+        yield first, np.flatnonzero(group)
+
+
 def _compare_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning links of each node's members by sketch; nodes of equal size are compared at once."""
     for batch in batches:
@@ -169,23 +186,15 @@ def _compare_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             i, j = np.triu_indices(size, 1)
             nodes = np.flatnonzero(sizes == size)
             step = max(1, (4 << 20) // (len(i) * SKETCH // 2))
-            for k in range(0, len(nodes), step):
+            for k in range(0, len(nodes), step):  # a few megabytes of pairs at once, or one node
                 member = at[nodes[k : k + step], None] + np.arange(size)
                 m = sketches[member]
                 close = _similarity(m[:, i], m[:, j]) >= LOOSE
                 for node in np.flatnonzero(close.any(1)).tolist():
-                    top = list(range(size))
-                    own = ids[member[node]].tolist()
-                    hit = np.flatnonzero(close[node])
-                    for x, y in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
-                        while top[x] != x:
-                            x = top[x]
-                        while top[y] != y:
-                            y = top[y]
-                        if x != y:
-                            top[max(x, y)] = min(x, y)
-                            a.append(own[x])
-                            b.append(own[y])
+                    own, hit = ids[member[node]], np.flatnonzero(close[node])
+                    for x, others in _groups(i[hit], j[hit], size):
+                        a += [int(own[x])] * len(others)
+                        b += own[others].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 

@@ -59,8 +59,9 @@ def corpus(seed=1, groups=25, singles=60, big=110):
     return dict(enumerate(texts))
 
 
-@pytest.mark.parametrize(("n", "component"), [(2, 4_000_000), (5, 4_000_000), (2, 4_000)])
-def test_all_pairs(spark, n, component):
+@pytest.mark.parametrize(("n", "component", "node"), [(2, 4_000_000, 1024), (5, 4_000_000, 24), (2, 4_000, 24)])
+def test_all_pairs(spark, monkeypatch, n, component, node):
+    monkeypatch.setattr(near_dedup, "NODE", node)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows.items()], "doc_id long, text string, component_id string").repartition(5)
     got = near_dedup.near_duplicates(spark, df, n=n, component_shingles=component).collect()
