@@ -71,8 +71,9 @@ def with_stream_offsets(encoded: DataFrame) -> tuple[DataFrame, int]:
     return encoded.join(offsets, "task").withColumn("stream", F.col("base") + F.col("start")).drop("base", "start", "task"), at
 
 
-def cut(streamed: DataFrame, length: int = LENGTH, with_ids: bool = True, slot: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """Pieces of documents in sequences of `length`; with `slot` also what that gives for their numbers."""
+def cut(streamed: DataFrame, length: int = LENGTH, with_ids: bool = True, slot: Callable[[np.ndarray], np.ndarray] | None = None, slots: tuple[int, int] | None = None) -> DataFrame:
+    """Pieces of documents in sequences of `length`; with `slot` also what that gives for their
+    numbers, then without checksums, and only pieces whose slot is in the range `slots`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,16 +83,20 @@ def cut(streamed: DataFrame, length: int = LENGTH, with_ids: bool = True, slot:
             pieces = last - first + 1
             row = np.repeat(np.arange(len(n)), pieces)
             seq = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            own = slot(seq) if slot else None
+            if own is not None and slots is not None:
+                inside = (own >= slots[0]) & (own < slots[1])
+                row, seq, own = row[inside], seq[inside], own[inside]
             begin = np.maximum(seq * length, stream[row])
             end = np.minimum((seq + 1) * length, (stream + n)[row])
             ids = batch.column(batch.schema.get_field_index("ids"))
             wide = [np.frombuffer(x.as_buffer(), "<u2") for x in ids]
             parts = [wide[r][b:e] for r, b, e in zip(row.tolist(), (begin - stream[row]).tolist(), (end - stream[row]).tolist(), strict=True)]
-            crc = np.fromiter((zlib.crc32(p.astype("<u4").tobytes()) for p in parts), np.int64, len(parts))
-            more = [pa.array(slot(seq))] if slot else []
+            crc = pa.nulls(len(parts), pa.int64()) if slot else pa.array([zlib.crc32(p.astype("<u4").tobytes()) for p in parts], pa.int64())
+            more = [pa.array(own)] if slot else []
             yield pa.RecordBatch.from_arrays(
                 [
-                    null_ids.take(pa.array(row)), pa.array(begin - stream[row]), pa.array(end - begin), pa.array(crc), pa.array(n[row]), pa.array(seq), pa.array(begin - seq * length),
+                    null_ids.take(pa.array(row)), pa.array(begin - stream[row]), pa.array(end - begin), crc, pa.array(n[row]), pa.array(seq), pa.array(begin - seq * length),
                     pa.array([p.tobytes() for p in parts] if with_ids else [None] * len(parts), pa.binary()), *more,
                 ],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"] + ["slot"] * len(more),

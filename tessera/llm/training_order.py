@@ -108,14 +108,14 @@ def write_shards(spark: SparkSession, documents: DataFrame, tokenizer: str, fold
         return 0
     order = Permutation(n, key)
     shards = -(-n // shard_rows)
-    pieces = packing.cut(streamed, length, slot=order.slots).select("slot", "offset", "ids", F.expr(f"cast(slot div {shard_rows} as int)").alias("part"))
     clean = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
         per_wave = -(-shards // waves)
         for first in range(0, shards, per_wave):
             last = min(first + per_wave, shards)
-            own = pieces.where((F.col("part") >= first) & (F.col("part") < last)) if per_wave < shards else pieces
+            pieces = packing.cut(streamed, length, slot=order.slots, slots=(first * shard_rows, last * shard_rows))
+            own = pieces.select("slot", "offset", "ids", F.expr(f"cast(slot div {shard_rows} as int)").alias("part"))
             dealt = own.repartitionById(last - first, F.col("part") - first).sortWithinPartitions("slot", "offset")
             records = dealt.select("slot", "offset", "ids").mapInArrow(_join_pieces(length, shard_rows), "shard long, record binary")
             # Spark's text writer ends a record with the line separator, which is the record's own.
