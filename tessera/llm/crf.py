@@ -71,12 +71,15 @@ def fit(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, n_feature
     return model
 
 
-def viterbi(model: Crf, features: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Best labels (sequences, tokens); what lies behind a sequence's length means nothing."""
+def viterbi(model: Crf, features: np.ndarray, lengths: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+    """Best labels (sequences, tokens); what lies behind a sequence's length means nothing.
+
+    first: scores (sequences, labels) in place of the model's; last: labels that sequences end with.
+    """
     n, width, _ = features.shape
     score = model.scores(features)
     back = np.zeros((n, width, score.shape[2]), np.int8)
-    best = model.first + score[:, 0]
+    best = (model.first if first is None else first) + score[:, 0]
     keep = np.arange(score.shape[2], dtype=np.int8)
     for i in range(1, width):
         through = best[:, :, None] + model.step
@@ -84,7 +87,45 @@ def viterbi(model: Crf, features: np.ndarray, lengths: np.ndarray) -> np.ndarray
         back[:, i] = np.where(inside, through.argmax(1), keep)
         best = np.where(inside, through.max(1) + score[:, i], best)
     out = np.zeros((n, width), np.int8)
-    out[:, -1] = best.argmax(1)
+    out[:, -1] = best.argmax(1) if last is None else last
     for i in range(width - 1, 0, -1):
         out[:, i - 1] = np.take_along_axis(back[:, i], out[:, i, None].astype(np.int64), 1)[:, 0]
     return out
+
+
+def _ways(model: Crf, features: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Best scores (pieces, label before, last label) of whole pieces, entered by the scores `start` of the same shape."""
+    score = model.scores(features).transpose(1, 2, 0)  # tokens, labels, pieces
+    best = start.transpose(2, 1, 0) + score[0][:, None]  # label, label before, pieces
+    for own in score[1:]:
+        best = (best[:, None] + model.step[:, :, None, None]).max(0) + own[:, None]
+    return best.transpose(2, 1, 0)
+
+
+def viterbi_long(model: Crf, features: np.ndarray, piece: int, block: int) -> np.ndarray:
+    """Best labels of one sequence (tokens, features of a token) of any length, as `viterbi` has them.
+
+    Pieces are scored side by side, `block` at once, for each label before them. Chained, these
+    scores give the labels at all borders, and between them each piece is decoded.
+    """
+    n, k = divmod(len(features), piece)
+    whole, rest = features[: n * piece].reshape(n, piece, -1), features[n * piece :][None]
+    start = np.broadcast_to(model.step, (n + (k > 0), *model.step.shape)).copy()
+    start[0] = model.first
+    ways = [_ways(model, whole[i : i + block], start[i : min(i + block, n)]) for i in range(0, n, block)]
+    ways = np.concatenate(ways + [_ways(model, rest, start[n:])] * (k > 0))
+    total, came = np.zeros(len(model.first)), []
+    for way in ways:
+        through = total[:, None] + way
+        came.append(through.argmax(0))
+        total = through.max(0)
+    ends = [int(total.argmax())]
+    for before in reversed(came):
+        ends.append(int(before[ends[-1]]))
+    ends = np.array(ends[::-1])
+    first, last = start[np.arange(len(ways)), ends[:-1]], ends[1:]
+    full = lambda m: np.full(m, piece)
+    out = [viterbi(model, whole[i : i + block], full(len(whole[i : i + block])), first[i : min(i + block, n)], last[i : min(i + block, n)]).ravel() for i in range(0, n, block)]
+    if k:
+        out.append(viterbi(model, rest, np.array([k]), first[n:], last[n:])[0])
+    return np.concatenate(out)

@@ -8,8 +8,9 @@ of its run of all-digit words, pass the checks.
 It is trained, in numpy, from a small labelled table (`labelled_table`, made here by a rule from
 a few dozen templates, positive and negative), and decoded by Viterbi in batches of sequences.
 A sequence is a neighbourhood of words with a digit or @: all others can't hold such data, and
-their stretches aren't decoded. A span that the field finds is added unless it overlaps a base
-span or fails its kind's check; base spans always stay.
+their stretches aren't decoded. A stretch has no bound: a long one is decoded in pieces whose
+scores are chained, with the labels that it has when decoded at once. A span that the field finds
+is added unless it overlaps a base span or fails its kind's check; base spans always stay.
 
 Defined cases: null text counts as empty (no spans). Positions count code points, ends are
 exclusive. Rows with equal doc_id are read one by one; columns other than doc_id and text are
@@ -181,21 +182,28 @@ def _group_features(words: list[str]) -> list[int]:
     core = ["".join(w[slice(*_trim(w))].split("-")) for w in words]
     digits = [c.isascii() and c.isdigit() for c in core]
     out: list[int] = []
+    stop = 0
     while (k := len(out)) < len(words):
-        stop = k
-        while stop < len(words) and digits[stop] and (stop == k or words[stop - 1][-1:] in "0123456789"):
-            stop += 1
-        ends = [stop, *range(k + 1, stop)]
+        if stop <= k:
+            stop = k
+            while stop < len(words) and digits[stop] and (stop == k or words[stop - 1][-1:] in "0123456789"):
+                stop += 1
+        # Each of the words has a digit, so that more than 19 of them aren't a card.
+        ends = [*([stop] if stop <= k + 19 else []), *range(k + 1, min(stop, k + 20))]
         end = next((e for e in ends if 12 <= sum(map(len, core[k:e])) <= 19 and luhn("".join(core[k:e]))), None)
         size = max((end or k + 1) - k, 1)
         out += [_value(f"run {end is not None} {size > 1} {digits[k]}")] * size
     return out
 
 
-def _features(words: list[str]) -> list[tuple[int, ...]]:
+def _feature_rows(words: list[str]) -> Iterator[tuple[int, ...]]:
     around = ["", *words, ""]
     group = _group_features(words)
-    return [(*_own_features(w), _side_feature(around[i], "before"), _side_feature(around[i + 2], "after"), group[i]) for i, w in enumerate(words)]
+    return ((*_own_features(w), _side_feature(around[i], "before"), _side_feature(around[i + 2], "after"), group[i]) for i, w in enumerate(words))
+
+
+def _features(words: list[str]) -> list[tuple[int, ...]]:
+    return list(_feature_rows(words))
 
 
 N_FEATURES = 11
@@ -283,19 +291,42 @@ def neighbourhoods(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
-#: Words decoded at once; a longer stretch is cut there.
+#: A stretch of more words is decoded in pieces of this size, whose scores are chained.
 MAX_SEQUENCE = 256
 DECODE_WORDS = 40_000
 
 
+def _spans_of(text: str, s: list[tuple[int, int]], labels: list[int]) -> Iterator[Span]:
+    """Valid spans among the labels of the words at s."""
+    i = 0
+    while i < len(s):
+        if labels[i] % 2 == 1:
+            kind, j = labels[i] // 2, i + 1
+            while j < len(s) and labels[j] == labels[i] + 1:
+                j += 1
+            start, end = s[i][0], s[j - 1][1]
+            a, b = _trim(text[start:end])
+            if _valid(kind, text[start + a : start + b]):
+                yield start + a, kind, start + b
+            i = j
+        else:
+            i += 1
+
+
 def field_spans(model: crf.Crf, texts: list[str]) -> list[list[Span]]:
     """Valid spans that the field finds in each text."""
     stretches: list[tuple[int, list[tuple[int, int]]]] = []
+    found: list[list[Span]] = [[] for _ in texts]
     for row, text in enumerate(texts):
         for s in neighbourhoods(text):
-            stretches += ((row, s[i : i + MAX_SEQUENCE]) for i in range(0, len(s), MAX_SEQUENCE))
+            if len(s) <= MAX_SEQUENCE:
+                stretches.append((row, s))
+            else:
+                rows = _feature_rows([text[a:b] for a, b in s])
+                features = np.fromiter((x for f in rows for x in f), np.int32, len(s) * N_FEATURES).reshape(-1, N_FEATURES)
+                labels = crf.viterbi_long(model, features, MAX_SEQUENCE, DECODE_WORDS // MAX_SEQUENCE // LABELS)
+                found[row] += _spans_of(text, s, labels.tolist())
     stretches.sort(key=lambda s: len(s[1]))
-    found: list[list[Span]] = [[] for _ in texts]
     at = 0
     while at < len(stretches):
         to = at + 1
@@ -305,19 +336,7 @@ def field_spans(model: crf.Crf, texts: list[str]) -> list[list[Span]]:
         features, lengths = _padded([_features([texts[row][a:b] for a, b in s]) for row, s in some])
         best = crf.viterbi(model, features, lengths)
         for (row, s), labels in zip(some, best.tolist(), strict=True):
-            i = 0
-            while i < len(s):
-                if labels[i] % 2 == 1:
-                    kind, j = labels[i] // 2, i + 1
-                    while j < len(s) and labels[j] == labels[i] + 1:
-                        j += 1
-                    start, end = s[i][0], s[j - 1][1]
-                    a, b = _trim(texts[row][start:end])
-                    if _valid(kind, texts[row][start + a : start + b]):
-                        found[row].append((start + a, kind, start + b))
-                    i = j
-                else:
-                    i += 1
+            found[row] += _spans_of(texts[row], s, labels)
         at = to
     return found
 

@@ -1,12 +1,13 @@
 """Base patterns against re, the field on sentences it hasn't seen, and redaction."""
 
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import pii
+from tessera.llm import crf, pii
 
 
 def brute(text):
@@ -50,6 +51,29 @@ def test_field_on_unseen_sentences():
     assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.95
 
 
+def test_long_stretches_are_decoded_whole():
+    r = random.Random(5)
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    contacts = "\n".join(f"name ({n(3)}) {n(3)}-{n(4)}" for _ in range(2000))
+    mixed = " ".join(" ".join(words) for words, _ in pii.labelled_table(1500, seed=3))
+    numbers = " ".join(n(r.randint(1, 5)) for _ in range(4000))
+    model = pii.train()
+    for text, found in zip((contacts, mixed, numbers), pii.field_spans(model, [contacts, mixed, numbers]), strict=True):
+        want = []
+        for s in pii.neighbourhoods(text):
+            features, lengths = pii._padded([pii._features([text[a:b] for a, b in s])])
+            want += pii._spans_of(text, s, crf.viterbi(model, features, lengths)[0].tolist())
+        assert sorted(found) == sorted(want)
+    assert max(map(len, pii.neighbourhoods(contacts))) == 6000
+    phones = [(m.start(), 3, m.end()) for m in re.finditer(r"\(\d{3}\) \d{3}-\d{4}", contacts)]
+    assert pii.all_spans(model, [contacts])[0][1] == phones
+    assert pii.redacted(contacts, phones) == "\n".join(["name <phone>"] * 2000)
+
+
+def test_long_runs_of_numbers_take_linear_time():
+    assert pii.field_spans(pii.train(), ["1 " * 50_000, "1234 " * 50_000])
+
+
 def test_documents(spark, hard, no_documents):
     rows = [(1, "call +1 (643) 555-5742, or (643) 555-5742 now"), (2, None), (3, "x 4111 1111 1111 1111 4111111111111111 y"), (4, "mail a.b@c.example.com. id 9482738473829384"), (4, "a@b.co"), (5, "nothing here")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, spans string")
