@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality_classifier, quality_rules
-from tessera.llm.near_dedup import near_duplicates
+from tessera.llm import near_dedup, quality_classifier, quality_rules
 from tessera.llm.packing import pack
 from tessera.llm.pii import redact
 from tessera.llm.queries import tokenizer
@@ -28,11 +27,6 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among those of verdicts, which are too many to broadcast."""
-    return docs.join(verdicts.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
-
-
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the rules' model keep."""
     return quality_rules.keep_rows(docs, _labels(spark, sf_dir), learn_from=_source(spark, sf_dir))
@@ -44,8 +38,8 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that with the least doc_id."""
-    return _keep(docs, near_duplicates(spark, docs, n=5).where("kept"))
+    """One document of each class of near-duplicates: that with the least doc_id. Documents without an id all stay."""
+    return near_dedup.keep_rows(spark, docs, n=5)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ goes to the driver (only leaders of one oversized component, `LEADER_SHINGLES` a
 Defined cases: null text and texts without words have an empty set and are linked with nothing.
 Fewer words than n: the whole sequence is the one shingle. Rows with equal doc_id are separate
 documents that share the id. Null doc_ids are kept and never linked. Other columns are ignored.
+`near_duplicates` says by doc_id what is kept, so that all rows of a class that have its least id
+are; `keep_rows` keeps one of them. Representatives are known by a 64-bit hash of their set.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import text_arrays as ta
@@ -121,7 +123,7 @@ def _binary_rows(values: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(values), [None, pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
 
-_SIGNED = "doc_id long, n_shingles long, set_key binary, roots array<long>, sketch binary"
+_SIGNED = "doc_id long, text_key long, n_shingles long, set_key binary, roots array<long>, sketch binary"
 
 
 def sign(documents: DataFrame, n: int) -> DataFrame:
@@ -134,11 +136,11 @@ def sign(documents: DataFrame, n: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, roots.size + 1, TREES, dtype=np.int32)), pa.array(roots.ravel().view(np.int64)))
             blank = pa.nulls(len(some), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(np.diff(offsets)), pa.compute.if_else(pa.array(some), _binary_rows(keys), blank), lists, _binary_rows(sketches)],
-                names=["doc_id", "n_shingles", "set_key", "roots", "sketch"],
+                [part.column(0), part.column(2), pa.array(np.diff(offsets)), pa.compute.if_else(pa.array(some), _binary_rows(keys), blank), lists, _binary_rows(sketches)],
+                names=["doc_id", "text_key", "n_shingles", "set_key", "roots", "sketch"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, _SIGNED)
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, _SIGNED)
 
 
 def _similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -365,21 +367,25 @@ def _large_component(members: DataFrame, component: int, percent: int, scratch:
         inner.drop()
 
 
-def near_duplicates(spark: SparkSession, documents: DataFrame, n: int = 5, percent: int = 80, component_shingles: int = COMPONENT_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of documents."""
+def _classes_of(spark: SparkSession, documents: DataFrame, n: int, percent: int, component_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signed rows, representatives, their classes).
+
+    Representatives: (set_key, rep, doc_id, text_key, ...), the least row of each set. Classes of
+    two sets or more: (rep, least_id, least_key), by the least row of the class.
+    """
     scratch = Scratch(spark, "near-dedup")
     signed = scratch.keep(sign(documents, n), "signed")
     with_set = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = with_set.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "roots", "sketch")).alias("r")).select("set_key", F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.roots", "r.sketch")
+    reps = with_set.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "roots", "sketch")).alias("r")).select("set_key", F.xxhash64("set_key").alias("rep"), "r.*")
     reps = scratch.keep(reps, "representatives")
     links = loose_links(reps, scratch)
     loose = connected_components(links, Scratch(spark, "near-dedup-loose"))
     loose = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
-    sized = scratch.keep(loose.join(reps, F.col("node") == F.col("rep")).select("rep", F.col("root").alias("component"), "set_key", "n_shingles"), "loose")
+    sized = scratch.keep(loose.join(reps, F.col("node") == F.col("rep")).select("rep", F.col("root").alias("component"), "set_key", "n_shingles", "doc_id"), "loose")
     totals = sized.groupBy("component").agg(F.sum("n_shingles").alias("total"))
     large = [r["component"] for r in totals.where(F.col("total") > component_shingles).select("component").collect()]  # few: each has millions of shingles
     # The members' number has no bound, so they are never broadcast.
-    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(sized.select("rep", "component", "set_key").hint("merge"), "rep")
+    texts = documents.select("doc_id", "text").join(sized.select("doc_id", "rep", "component", "set_key").hint("merge"), "doc_id")
     sets = _sets_of(texts, n)
     small = sets.where(~F.col("component").isin(large)) if large else sets
     grouped = small.groupBy("component").agg(F.collect_set(F.struct("rep", "shingles")).alias("members"))
@@ -387,7 +393,35 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, n: int = 5, perce
     for component in large:
         members = scratch.keep(sets.where(F.col("component") == component).distinct().select("rep", F.expr("cast(octet_length(shingles) / 8 as long)").alias("n_shingles"), "shingles"), f"large-{component}")
         classes = classes.unionByName(_large_component(members, component, percent, scratch))
+    members = classes.unionByName(classes.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "rep")
+    least = members.hint("merge").join(reps.select("rep", "doc_id", "text_key"), "rep").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("l"))
+    classes = members.join(least.hint("merge"), "root").select("rep", F.col("l.doc_id").alias("least_id"), F.col("l.text_key").alias("least_key"))
+    return signed, reps, scratch.keep(classes, "least")
+
+
+def near_duplicates(spark: SparkSession, documents: DataFrame, n: int = 5, percent: int = 80, component_shingles: int = COMPONENT_SHINGLES) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of documents."""
+    signed, reps, classes = _classes_of(spark, documents, n, percent, component_shingles)
     own_key = F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")
-    out = signed.select("doc_id", "n_shingles", own_key).join(reps.select("set_key", "rep"), "set_key", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("root", "rep", "doc_id")
+    out = signed.select("doc_id", "n_shingles", own_key).join(reps.select("set_key", "rep", F.col("doc_id").alias("rep_id")), "set_key", "left").join(classes, "rep", "left")
+    component = F.coalesce("least_id", "rep_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_rows(spark: SparkSession, documents: DataFrame, n: int = 5, percent: int = 80, component_shingles: int = COMPONENT_SHINGLES) -> DataFrame:
+    """The rows of documents, all columns: one of each class, with its least doc_id, and all rows
+    that are never linked (without words or without an id).
+
+    A row is found again by its id and a hash of its text; of rows equal in both one stays.
+    """
+    signed, reps, classes = _classes_of(spark, documents, n, percent, component_shingles)
+    first = reps.select("rep", "doc_id", "text_key").join(classes, "rep", "left").where("least_id IS NULL OR (doc_id = least_id AND text_key = least_key)")
+    blank = signed.where("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id", "text_key").distinct()
+    chosen = first.select("doc_id", "text_key", F.lit(True).alias("once")).unionByName(blank.withColumn("once", F.lit(False)))
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = documents.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_key"), row)
+    # The chosen rows' number has no bound, so they are never broadcast.
+    found = rows.join(chosen.hint("merge"), ["doc_id", "text_key"])
+    copy = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(F.xxhash64("row")))
+    found = found.withColumn("copy", copy).where("copy = 1 OR NOT once").select("row.*")
+    return found.unionByName(documents.where("doc_id IS NULL"))

@@ -46,6 +46,28 @@ def test_near_duplicates(stages):
     assert sorted(r["doc_id"] for r in stages[3].collect()) == sorted(i for i, root in roots.items() if i == root)
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark, hard, sf):
+    from test_near_dedup import brute
+
+    long = " ".join(f"w{k}" for k in range(60))
+    more = [(50, long), (60, long + " near"), (60, "another text of one id, copied nowhere"), (70, "twice the same row and the same id")]
+    more += [(70, "twice the same row and the same id"), (80, long.upper()), (50, long + " near too"), (None, long), (None, long), (None, None), (90, ""), (90, "")]
+    rows = [(r["doc_id"], r["text"]) for r in hard.collect()] + more
+    df = spark.createDataFrame([(i, t, k, True) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long, once boolean").repartition(3)
+    got = corpus_pipeline.near_dedup_stage(spark, df, sf)
+    assert got.columns == df.columns
+    got = [r["k"] for r in got.collect()]
+    roots, sizes = brute({k: t for k, (i, t) in enumerate(rows) if i is not None}, 5)
+    free = {k for k, (i, _) in enumerate(rows) if i is None or not sizes[k]}
+    assert free <= set(got) and len(got) == len(set(got))
+    classes = {}
+    for k, root in roots.items():
+        classes.setdefault(root, []).append(k)
+    left = [k for k in got if k not in free]
+    assert sorted(roots[k] for k in left) == sorted(root for root in classes if root not in free)
+    assert all(rows[k][0] == min(rows[m][0] for m in classes[roots[k]]) for k in left)
+
+
 def test_personal_data(stages):
     before = {r["doc_id"]: r["text"] for r in stages[3].collect()}
     after = {r["doc_id"]: r["text"] for r in stages[4].collect()}
