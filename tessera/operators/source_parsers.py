@@ -2,7 +2,8 @@
 
 There is no compiler behind this: text in strings and comments is blanked out, braces are matched,
 and what stands before a brace says what it opens. That finds the declarations of well-formed
-sources; a file in which braces don't match becomes windows of lines.
+sources; a C# file in which braces don't match becomes windows of lines. In a C file only the
+declarations whose braces don't match are left out, and windows over the whole file are added.
 
 A piece is (content, first line, last line, type, name); lines count from 1.
 """
@@ -327,29 +328,56 @@ _C_FUNCTION = re.compile(r"^(?![ \t]*(?:#|//|else\b|if\b|for\b|while\b|switch\b|
 
 
 def c_source(path: str, source: str) -> list[Piece]:
-    """Functions of a C file, or declarations of a header, with structs, enums, typedefs and macros."""
+    """Functions of a C file, or declarations of a header, with structs, enums, typedefs and macros.
+
+    Windows of lines over the whole file follow where braces don't match (as in the branches of an
+    #if), and stand alone where nothing is found.
+    """
     masked = blanked(source)
     out: list[Piece] = []
-    try:
-        for m in _C_STRUCT.finditer(masked):
-            b = closing(masked, m.end() - 1) + 1
-            tail = re.compile(r"[^;\n]*;?").match(masked, b)
-            out.append((source[m.start() : tail.end()], line_of(source, m.start()), line_of(source, tail.end()), "c-enum" if m.group(1) == "enum" else "c-struct", " ".join(masked[m.start() : m.end() - 1].split()[-1:])))
-        for m in re.finditer(r"^[ \t]*typedef\s+[^;{}]+;", masked, re.M):
-            out.append((source[m.start() : m.end()].strip(), line_of(source, m.start()), line_of(source, m.end()), "c-typedef", re.split(r"\W+", masked[m.start() : m.end() - 1].strip(" )"))[-1]))
-        for m in re.finditer(r"^[ \t]*#[ \t]*define[ \t]+(\w+)(?:[^\n]*\\\n)*[^\n]*", source, re.M):
-            out.append((m.group().strip(), line_of(source, m.start()), line_of(source, m.end()), "c-macro", m.group(1)))
-        for m in _C_FUNCTION.finditer(masked):
-            b = closing(masked, m.end() - 1) + 1
-            out += _c_function(source[m.start() : b].lstrip("\n"), line_of(source, m.start() + len(m.group()) - len(m.group().lstrip("\n"))), m.group(1))
-    except ValueError:
-        return [(source[:MAX_CHUNK], 1, source.count("\n") + 1, "c-file", "")]
+    # Where braces stand that are closed nowhere.
+    opened: list[int] = []
+    stray = False
+    for m in re.finditer(r"[{}]", masked):
+        if m.group() == "{":
+            opened.append(m.start())
+        elif opened:
+            opened.pop()
+        else:
+            stray = True
+    unclosed = set(opened)
+    for m in _C_STRUCT.finditer(masked):
+        if m.end() - 1 in unclosed:
+            continue
+        b = closing(masked, m.end() - 1) + 1
+        tail = re.compile(r"[^;\n]*;?").match(masked, b)
+        out.append((source[m.start() : tail.end()], line_of(source, m.start()), line_of(source, tail.end()), "c-enum" if m.group(1) == "enum" else "c-struct", " ".join(masked[m.start() : m.end() - 1].split()[-1:])))
+    for m in re.finditer(r"^[ \t]*typedef\s+[^;{}]+;", masked, re.M):
+        out.append((source[m.start() : m.end()].strip(), line_of(source, m.start()), line_of(source, m.end()), "c-typedef", re.split(r"\W+", masked[m.start() : m.end() - 1].strip(" )"))[-1]))
+    for m in re.finditer(r"^[ \t]*#[ \t]*define[ \t]+(\w+)(?:[^\n]*\\\n)*[^\n]*", source, re.M):
+        out.append((m.group().strip(), line_of(source, m.start()), line_of(source, m.end()), "c-macro", m.group(1)))
+    for m in _C_FUNCTION.finditer(masked):
+        if m.end() - 1 in unclosed:
+            continue
+        b = closing(masked, m.end() - 1) + 1
+        out += _c_function(source[m.start() : b].lstrip("\n"), line_of(source, m.start() + len(m.group()) - len(m.group().lstrip("\n"))), m.group(1))
     if path.lower().endswith(".h"):
         for k, line in enumerate(source.split("\n")):
             t = line.strip()
             if "(" in t and ")" in t and t.endswith(";") and not t.startswith(("//", "#", "typedef")):
                 out.append((t, k + 1, k + 1, "c-function", (_CALL.search(t) or [None, ""])[1]))
-    return sorted(out, key=lambda p: (p[1], -p[2])) or [(source[:MAX_CHUNK], 1, source.count("\n") + 1, "c-file", "")]
+    out.sort(key=lambda p: (p[1], -p[2]))
+    return out + list(_c_file(source)) if unclosed or stray or not out else out
+
+
+def _c_file(source: str) -> Iterator[Piece]:
+    """The whole file, as windows if it is long."""
+    lines = source.split("\n")
+    if len(source) <= MAX_CHUNK:
+        yield source, 1, len(lines), "c-file", ""
+        return
+    for a, b in c_windows(lines, fixed.TARGET_CHUNK, 0.8):
+        yield "\n".join(lines[a:b]), a + 1, b, "c-file", ""
 
 
 def _c_function(body: str, first: int, name: str) -> Iterator[Piece]:

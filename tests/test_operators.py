@@ -213,6 +213,23 @@ def test_c_and_razor():
     assert source_parsers.razor("x")[0][3] == "razor-file"
 
 
+def test_c_files_with_unmatched_braces_stay_whole():
+    good = lambda k: f"int f{k}(int a)\n{{\n  return {k};\n}}\n"
+    text = "#define MAX 3\nstruct S { int a; };\n" + good(1) + "int bad(int a)\n{\n#if X\n  if (a) {\n#else\n  if (!a) {\n#endif\n  }\n}\n" + "".join(good(k) for k in range(2, 900))
+    found = source_parsers.c_source("x.c", text)
+    assert {p[4] for p in found if p[3] == "c-function"} == {f"f{k}" for k in range(1, 900)}
+    assert {"c-macro", "c-struct"} <= {p[3] for p in found}
+    plain = "\n".join(f"word {k}" for k in range(5000))
+    for source in (text, plain):
+        lines, covered = source.split("\n"), set()
+        for content, a, b, kind, _ in source_parsers.c_source("x.c", source):
+            if kind == "c-file":
+                assert content == "\n".join(lines[a - 1 : b])
+                covered |= set(range(a, b + 1))
+        assert covered == set(range(1, len(lines) + 1))
+    assert source_parsers.c_source("x.c", "no code")[0] == ("no code", 1, 1, "c-file", "")
+
+
 def test_chunk_files(spark):
     rows = [("a/Login.cs", NOW, CSHARP), ("b/x.c", NOW, "int check_login(int a)\n{\n return 1;\n}\n"), ("c/empty.cs", NOW, ""), ("d/none.cs", NOW, None)]
     got = chunk_files(spark.createDataFrame(rows, "path string, modified timestamp, content string")).collect()
