@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring, text
-from tessera.operators import markdown
+from tessera.operators import changes, markdown
 
 
 def resolve(memories: DataFrame, id_or_alias: str) -> DataFrame:
@@ -60,6 +60,45 @@ def add(memories: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     return memories.unionByName(made.select(memories.columns))
 
 
+def _base(title: Column) -> Column:
+    return F.when(text.alias_of(title) == "", "memory").otherwise(text.alias_of(title))
+
+
+def new_aliases(renamed: DataFrame, held: DataFrame) -> DataFrame:
+    """(id, alias) for renamed (id, name) in order of id: the first of `base`, `base-1`, `base-2`, ...
+    that isn't among held (alias), is no other name's own base, and goes to no smaller id."""
+    bases = renamed.select("id", _base(F.col("name")).alias("base"))
+    asked = bases.withColumn("place", F.row_number().over(Window.partitionBy("base").orderBy("id")))
+    own = bases.select(F.col("base").alias("alias")).distinct()
+    occupied = held.select("alias").where("alias IS NOT NULL").unionByName(own).distinct()
+    # Each taken alias of a base uses up one number, so that so many more always leave enough.
+    stems = occupied.select(F.regexp_extract("alias", "^(.*)-[0-9]+$", 1).alias("base")).groupBy("base").agg(F.count("*").alias("used"))
+    sizes = asked.groupBy("base").agg(F.count("*").alias("own")).join(stems, "base", "left")
+    numbers = sizes.select("base", F.explode(F.sequence(F.lit(0), F.col("own") + F.coalesce("used", F.lit(0)))).alias("number"))
+    numbers = numbers.withColumn("alias", F.when(F.col("number") == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("number").cast("string"))))
+    taken = occupied.join(held.select("alias").distinct().withColumn("held", F.lit(True)), "alias", "left")
+    free = numbers.join(taken.withColumn("there", F.lit(True)), "alias", "left").where("there IS NULL OR (number = 0 AND held IS NULL)")
+    free = free.withColumn("place", F.row_number().over(Window.partitionBy("base").orderBy("number")))
+    return asked.join(free.select("base", "place", "alias"), ["base", "place"]).select("id", "alias")
+
+
+def update(memories: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
+    """memories after a partial update by updates (id, name, text, tags), one row for each id.
+
+    Fields that aren't null replace those of the memory. A new name makes a new alias against all
+    other memories (those renamed with it give up their old ones); a new text new sizes.
+    """
+    named = updates.where("name IS NOT NULL").join(memories.select("id"), "id", "left_semi").select("id", "name")
+    held = memories.join(named.select("id"), "id", "left_anti").select("alias")
+    aliases = new_aliases(named, held).withColumnRenamed("alias", "_alias")
+    written = updates.where("text IS NOT NULL").select("id", F.lit(True).alias("_written"))
+    changed = changes.update_fields(memories, updates, "id", ["name", "text", "tags"], now).join(aliases, "id", "left").join(written, "id", "left")
+    out = changed.withColumn("alias", F.coalesce("_alias", "alias"))
+    for column, value in (("lines_count", text.lines_count(F.col("text"))), ("size_kb", text.size_kb(F.col("text")))):
+        out = out.withColumn(column, F.when(F.col("_written"), value).otherwise(F.col(column)))
+    return out.select(memories.columns)
+
+
 def children(memories: DataFrame, most: int = 10) -> DataFrame:
     """(parent_id, children): each parent's latest children."""
     place = Window.partitionBy("parent_id").orderBy(F.desc("timestamp"), F.desc("id"))

@@ -213,6 +213,22 @@ def test_c_and_razor():
     assert source_parsers.razor("x")[0][3] == "razor-file"
 
 
+def test_memory_update(spark):
+    old = NOW - dt.timedelta(days=3)
+    m = memories(spark).withColumn("updated_at", F.lit(old))
+    more = [(3, "Two", "two-1", [], "t", NOW, None, 1, 0.1, old), (4, "Four", "four", ["x"], "t", NOW, None, 1, 0.1, old), (5, "Five", "five", [], "t", NOW, None, 1, 0.1, old)]
+    m = m.unionByName(spark.createDataFrame(more, m.schema))
+    new = [(1, "TWO", None, None), (2, None, "a\n\nb\nc" + "é" * 1021, None), (4, "Two", None, ["y"]), (5, "Five", None, None), (9, "Two", "none", None)]
+    got = {r["id"]: r for r in memory.update(m, spark.createDataFrame(new, "id int, name string, text string, tags array<string>"), F.lit(NOW)).collect()}
+    assert {i: r["alias"] for i, r in got.items()} == {1: "two-2", 2: "two", 3: "two-1", 4: "two-3", 5: "five"}
+    assert (got[2]["lines_count"], got[2]["size_kb"]) == (3, (6 + 2 * 1021) / 1024) and got[2]["name"] == "Two"
+    assert (got[1]["lines_count"], got[1]["size_kb"]) == (1, 0.1) and got[4]["tags"] == ["y"] and got[1]["tags"] == ["A"]
+    assert [got[i]["updated_at"] for i in (1, 2, 3, 4, 5)] == [NOW, NOW, old, NOW, NOW]
+    renamed = memory.update(m, spark.createDataFrame([(1, "Four 1", None, None), (2, "Four", None, None), (3, "Four", None, None)], "id int, name string, text string, tags array<string>"), F.lit(NOW))
+    assert {r["id"]: r["alias"] for r in renamed.collect()} == {1: "four-1", 2: "four-2", 3: "four-3", 4: "four", 5: "five"}
+    assert memory.resolve(renamed, "four-1").first()["id"] == 1
+
+
 def test_c_files_with_unmatched_braces_stay_whole():
     good = lambda k: f"int f{k}(int a)\n{{\n  return {k};\n}}\n"
     text = "#define MAX 3\nstruct S { int a; };\n" + good(1) + "int bad(int a)\n{\n#if X\n  if (a) {\n#else\n  if (!a) {\n#endif\n  }\n}\n" + "".join(good(k) for k in range(2, 900))
