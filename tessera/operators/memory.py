@@ -37,7 +37,10 @@ def unique_aliases(titles: DataFrame, id_column: str = "id", title: str = "name"
     # Bases with a clash: their repeats take the first free numbers.
     hit = named.join(clash, "base", "left_semi")
     wanted = hit.groupBy("base").agg(F.max("n").alias("most"), F.count("*").alias("own"))
-    numbers = wanted.select("base", F.explode(F.sequence(F.lit(1), F.col("most") * 2 + 1)).alias("number"))
+    # Each taken alias of a base uses up one number, so that so many more are always enough.
+    used = taken.select(F.regexp_extract("alias", "^(.*)-[0-9]+$", 1).alias("base")).groupBy("base").agg(F.count("*").alias("used"))
+    wanted = wanted.join(used, "base", "left")
+    numbers = wanted.select("base", F.explode(F.sequence(F.lit(1), F.col("most") + F.coalesce("used", F.lit(0)))).alias("number"))
     free = numbers.withColumn("alias", F.concat("base", F.lit("-"), F.col("number").cast("string"))).join(taken, "alias", "left_anti").withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("number"))).select("base", "n", F.col("alias").alias("free"))
     fixed = named.join(free, ["base", "n"], "left").withColumn("alias", F.coalesce("free", "alias"))
     return fixed.select(id_column, "base", "alias")

@@ -213,6 +213,11 @@ def test_c_and_razor():
     assert source_parsers.razor("x")[0][3] == "razor-file"
 
 
+def test_aliases_with_many_taken_numbers(spark):
+    titles = spark.createDataFrame(list(enumerate(["a b", "a b", "a b 1", "a b 2", "a b 3"])), "id int, name string")
+    assert {r["id"]: r["alias"] for r in memory.unique_aliases(titles).collect()} == {0: "a-b", 1: "a-b-4", 2: "a-b-1", 3: "a-b-2", 4: "a-b-3"}
+
+
 def test_memory_update(spark):
     old = NOW - dt.timedelta(days=3)
     m = memories(spark).withColumn("updated_at", F.lit(old))
