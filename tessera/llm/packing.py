@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe
 from tessera.llm import text_arrays as ta
+from tessera.llm import worker
 from tessera.llm.scratch import Scratch
 
 LENGTH = 1024
@@ -38,21 +39,21 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 def encode(documents: DataFrame, tokenizer: str, separator: int | None = SEPARATOR) -> DataFrame:
-    """Each row's ids as 16-bit (vocabularies up to 65,536) numbers, with its task and its start there."""
+    """Each row's ids, packed (bpe.id_type), with its task and its start there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = bpe.worker_copy(bpe.Packer, tokenizer)
-        end = b"" if separator is None else pack.packed([separator])
-        if pack.bpe.kind != "<u2":
-            raise ValueError("ids of this vocabulary don't fit 16 bits")
-        task, at = TaskContext.get().partitionId(), 0
-        for part in ta.blocks(batches, limit=1 << 20):
-            ids = [x + end for x in pack(ta.text_column(part).to_pylist())]
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        encoder = bpe.worker_copy(tokenizer)
+        end = b"" if separator is None else encoder.packed([separator])
+        width, task, at = np.dtype(encoder.kind).itemsize, TaskContext.get().partitionId(), 0
+        for part in ta.blocks(batches, limit=bpe.WINDOW):
+            n, ids = encoder.ids(ta.text_column(part))
+            raw, ends = ids.tobytes(), (width * np.cumsum(n)).tolist()
+            rows = [raw[a:b] + end for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            n = n + len(end) // width
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), task, np.int32)), pa.array(starts), part.column(0), pa.array(n), pa.array(ids, pa.binary())],
+                [pa.array(np.full(len(n), task, np.int32)), pa.array(starts), part.column(0), pa.array(n), pa.array(rows, pa.binary())],
                 names=["task", "start", "doc_id", "doc_tokens", "ids"],
             )
 
@@ -71,11 +72,12 @@ def with_stream_offsets(encoded: DataFrame) -> tuple[DataFrame, int]:
     return encoded.join(offsets, "task").withColumn("stream", F.col("base") + F.col("start")).drop("base", "start", "task"), at
 
 
-def cut(streamed: DataFrame, length: int = LENGTH, with_ids: bool = True, slot: Callable[[np.ndarray], np.ndarray] | None = None, slots: tuple[int, int] | None = None) -> DataFrame:
-    """Pieces of documents in sequences of `length`; with `slot` also what that gives for their
+def cut(streamed: DataFrame, kind: str, length: int = LENGTH, with_ids: bool = True, slot: Callable[[np.ndarray], np.ndarray] | None = None, slots: tuple[int, int] | None = None) -> DataFrame:
+    """Pieces of documents in sequences of `length`, whose ids are of type `kind`; with `slot` also what that gives for their
     numbers, then without checksums, and only pieces whose slot is in the range `slots`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for batch in batches:
             doc, stream, n = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc_id", "stream", "doc_tokens"))
             null_ids = batch.column(batch.schema.get_field_index("doc_id"))
@@ -90,7 +92,7 @@ def cut(streamed: DataFrame, length: int = LENGTH, with_ids: bool = True, slot:
             begin = np.maximum(seq * length, stream[row])
             end = np.minimum((seq + 1) * length, (stream + n)[row])
             ids = batch.column(batch.schema.get_field_index("ids"))
-            wide = [np.frombuffer(x.as_buffer(), "<u2") for x in ids]
+            wide = [np.frombuffer(x.as_buffer(), kind) for x in ids]
             parts = [wide[r][b:e] for r, b, e in zip(row.tolist(), (begin - stream[row]).tolist(), (end - stream[row]).tolist(), strict=True)]
             crc = pa.nulls(len(parts), pa.int64()) if slot else pa.array([zlib.crc32(p.astype("<u4").tobytes()) for p in parts], pa.int64())
             more = [pa.array(own)] if slot else []
@@ -108,7 +110,8 @@ def cut(streamed: DataFrame, length: int = LENGTH, with_ids: bool = True, slot:
 def pack(spark: SparkSession, documents: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids).
 
-    ids are little-endian unsigned 16-bit numbers; ids_crc32 is over the same ids in 32 bits.
+    ids are little-endian unsigned numbers of 16 bits (32 for vocabularies above 65,536 ids);
+    ids_crc32 is over the same ids in 32 bits.
     """
     encoded = Scratch(spark, "packing").keep(encode(documents, tokenizer), "encoded")
-    return cut(with_stream_offsets(encoded)[0], length, with_ids)
+    return cut(with_stream_offsets(encoded)[0], bpe.id_type(tokenizer), length, with_ids)

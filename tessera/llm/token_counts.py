@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import bpe
 from tessera.llm import text_arrays as ta
+from tessera.llm import worker
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -33,19 +34,19 @@ class PieceCounter:
 
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def __call__(self, texts: list[str]) -> list[int]:
-        return [len(x) for x in self._model.encode(texts, num_threads=1)]
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        return np.array([len(x) for x in self._model.encode(texts.to_pylist(), num_threads=1)], np.int64)
 
 
 def token_counts(documents: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of documents."""
-    kind = PieceCounter if tokenizer.endswith(".model") else bpe.Counter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = bpe.worker_copy(kind, tokenizer)
-        for part in ta.blocks(batches):
+        pieces = tokenizer.endswith(".model")
+        counter = worker.hold(("pieces", tokenizer), lambda: PieceCounter(tokenizer)) if pieces else bpe.worker_copy(tokenizer)
+        for part in ta.blocks(batches, limit=bpe.WINDOW):
             texts = ta.text_column(part)
-            n = np.asarray(count(texts.to_pylist()), np.int64)
+            n = counter.counts(texts)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(n), pa.array(n > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],

@@ -8,7 +8,7 @@ of `shard_rows` slots is one shard: pieces are dealt to their shard's partition,
 joined to records, and written as one file in which slot s begins at (s mod shard_rows) * stride.
 A reader that stopped at a slot goes on there, with one seek and without any index.
 
-A record is `length` little-endian unsigned 16-bit ids and a line feed, which only ends the
+A record is `length` little-endian unsigned ids (16 bits, 32 for vocabularies above 65,536 ids) and a line feed, which only ends the
 record: Spark's own text writer puts the bytes down as they are, on any file system that Spark
 writes. The last sequence is padded with the separator's id.
 
@@ -16,7 +16,9 @@ Shards are written in `waves`, so that shuffle files of no more than a wave are
 A lost executor costs its tasks, which are made again from the written ids; the order doesn't
 depend on tasks, tries or the number of executors.
 
-Defined cases: as in packing.py; an empty table has no sequences and no shards.
+Defined cases: null text counts as empty, and its document is the separator alone. Rows with equal
+doc_id are packed one by one, other columns are ignored, long texts span many sequences. An empty
+table has no sequences and no shards.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing
+from tessera.llm import bpe, packing
 from tessera.llm import text_arrays as ta
 from tessera.llm.scratch import Scratch
 
@@ -72,15 +74,15 @@ class Permutation:
         return self._walk(slots, self._keys[::-1])
 
 
-def _join_pieces(length: int, shard_rows: int):
-    """Records (shard, record) of pieces (slot, offset, ids) that come in that order."""
+def _join_pieces(record: int, shard_rows: int):
+    """Records of so many bytes (shard, record) of pieces (slot, offset, ids) that come in that order."""
     end = b"\n"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, parts = None, []
 
         def done() -> bytes:
-            return b"".join(parts).ljust(2 * length, b"\0") + end
+            return b"".join(parts).ljust(record, b"\0") + end
 
         for batch in batches:
             shards, records = [], []
@@ -107,6 +109,8 @@ def write_shards(spark: SparkSession, documents: DataFrame, tokenizer: str, fold
     if not n:
         return 0
     order = Permutation(n, key)
+    kind = bpe.id_type(tokenizer)
+    record = np.dtype(kind).itemsize * length
     shards = -(-n // shard_rows)
     clean = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
@@ -114,12 +118,12 @@ def write_shards(spark: SparkSession, documents: DataFrame, tokenizer: str, fold
         per_wave = -(-shards // waves)
         for first in range(0, shards, per_wave):
             last = min(first + per_wave, shards)
-            pieces = packing.cut(streamed, length, slot=order.slots, slots=(first * shard_rows, last * shard_rows))
+            pieces = packing.cut(streamed, kind, length, slot=order.slots, slots=(first * shard_rows, last * shard_rows))
             own = pieces.select("slot", "offset", "ids", F.expr(f"cast(slot div {shard_rows} as int)").alias("part"))
             dealt = own.repartitionById(last - first, F.col("part") - first).sortWithinPartitions("slot", "offset")
-            records = dealt.select("slot", "offset", "ids").mapInArrow(_join_pieces(length, shard_rows), "shard long, record binary")
+            records = dealt.select("slot", "offset", "ids").mapInArrow(_join_pieces(record, shard_rows), "shard long, record binary")
             # Spark's text writer ends a record with the line separator, which is the record's own.
-            text = records.select("shard", F.expr(f"cast(substring(record, 1, {2 * length}) as string)").alias("value"))
+            text = records.select("shard", F.expr(f"cast(substring(record, 1, {record}) as string)").alias("value"))
             text.write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").mode("append").text(folder)
     finally:
         if clean is None:
@@ -130,12 +134,12 @@ def write_shards(spark: SparkSession, documents: DataFrame, tokenizer: str, fold
     return n
 
 
-def read_shards(spark: SparkSession, folder: str, n: int, length: int = packing.LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY, after_slot: int = -1) -> DataFrame:
+def read_shards(spark: SparkSession, folder: str, n: int, length: int = packing.LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY, after_slot: int = -1, kind: str = "<u2") -> DataFrame:
     """(slot, sequence_id, shard, byte_offset, ids_crc32, ids) of all slots behind after_slot.
 
     The shard and place follow from the slot, so shards before it aren't opened.
     """
-    stride = 2 * length + 1
+    stride = np.dtype(kind).itemsize * length + 1
     order = Permutation(n, key) if n else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +154,7 @@ def read_shards(spark: SparkSession, folder: str, n: int, length: int = packing.
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(own), pa.array(order.sequences(own)), pa.array(np.full(len(own), shard)), pa.array((own - shard * shard_rows) * stride),
-                            pa.array([zlib.crc32(np.frombuffer(r, "<u2").astype("<u4").tobytes()) for r in rows], pa.int64()), pa.array(rows, pa.binary()),
+                            pa.array([zlib.crc32(np.frombuffer(r, kind).astype("<u4").tobytes()) for r in rows], pa.int64()), pa.array(rows, pa.binary()),
                         ],
                         names=["slot", "sequence_id", "shard", "byte_offset", "ids_crc32", "ids"],
                     )
