@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import text_arrays as ta
+from tessera.llm import worker
 from tessera.llm.components import connected_components
 from tessera.llm.scratch import Scratch
 
@@ -67,8 +68,25 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = ta.utf8(texts)
     data = ta.LOWER[data]
     starts, ends, by_row = ta.words(data, offsets)
-    word = ta.Hasher(data).spans(starts, ends)
+    word = ta.unit_hashes(data, starts, ends)
+    del data, starts, ends
     count = np.diff(by_row)
+    if len(texts) == 1:
+        if not count[0]:
+            return np.zeros(0, np.uint64), np.zeros(2, np.int64)
+        grams = np.empty(max(count[0] - n + 1, 1), np.uint64)
+        for at in range(0, len(grams), SET_BLOCK):
+            part = word[at : at + SET_BLOCK + n - 1]
+            h = np.full(max(len(part) - n + 1, 1), n, np.uint64)
+            for k in range(min(n, len(part))):
+                h = ta.mix(h * np.uint64(31) + part[k : k + len(h)])
+            grams[at : at + SET_BLOCK] = h
+        del word
+        grams.sort()
+        keep = np.ones(len(grams), bool)
+        keep[1:] = grams[1:] != grams[:-1]
+        grams = grams[keep]
+        return grams, np.array([0, len(grams)])
     n_grams = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     grams_by_row = np.concatenate([[0], np.cumsum(n_grams)])
     row = ta.row_of(grams_by_row)
@@ -128,7 +146,8 @@ _SIGNED = "doc_id long, text_key long, n_shingles long, set_key binary, roots ar
 
 def sign(documents: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in ta.blocks(batches, limit=1 << 20):
+        worker.release()
+        for part in ta.blocks(batches):
             sets, offsets = shingle_sets(ta.text_column(part), n)
             keys = set_keys(sets, offsets)
             roots, sketches = signatures(sets, offsets)
@@ -302,7 +321,8 @@ def _sets_of(documents: DataFrame, n: int) -> DataFrame:
     """(component, rep, shingles) for those rows (component, rep, set_key, text) whose set has that key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in ta.blocks(batches, limit=1 << 20):
+        worker.release()
+        for part in ta.blocks(batches):
             sets, offsets = shingle_sets(ta.text_column(part), n)
             own = _binary_rows(set_keys(sets, offsets))
             same = pa.compute.equal(own, part.column(2)).to_numpy(zero_copy_only=False) & (np.diff(offsets) > 0)

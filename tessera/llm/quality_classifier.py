@@ -14,8 +14,10 @@ Labels are learnt from a bounded sample of rows that aren't held out (labelled.p
 source and doc_id are no inputs. Scores cover every whole text, in Arrow batches.
 
 Defined cases: null and empty texts pool to zeros and get the score of those. Rows with equal
-doc_id are scored one by one. Without labels of both classes every score is the share of label 1
-(0.5 if there are no labels).
+doc_id are scored one by one. `quality_scores` ignores columns other than doc_id and text, whatever
+their names; `keep_rows` hands them on. An empty table gives no rows. A long text is pooled whole,
+in windows, so that it needs about 50 bytes for each of its words. Without labels of both classes
+every score is the share of label 1 (0.5 if there are no labels), in `keep_rows` too.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import labelled
 from tessera.llm import text_arrays as ta
+from tessera.llm import worker
 
 WORD_BITS, WORD_DIM = 16, 32
 MAKE_BITS, MAKE_DIM = 11, 24
@@ -53,22 +56,29 @@ def index_vectors(bits: int, dim: int, seed: int, ones: int = 4) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
 
 
+def _makes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Buckets of words' makes, for words that fill a window at most or for one word."""
+    n, share = ends - starts, []
+    for kind in (1, 2, 3):
+        if len(data) > ta.BLOCK_BYTES:
+            count = ta.row_counts(_KIND == kind, data, np.array([0, len(data)]))
+        else:
+            total = np.zeros(len(data) + 1, np.int32)
+            np.cumsum(_KIND[data] == kind, out=total[1:], dtype=np.int32)
+            count = total[ends] - total[starts]
+        share.append((count > 0).astype(np.int64) + (count > 1) + (count == n))
+    last = np.where(_KIND[data[ends - 1]] == 1, data[ends - 1], 0).astype(np.int64)
+    make = ((np.minimum(n, 15) * 4 + share[0]) * 4 + share[1]) * 4 + share[2]
+    return (ta.mix((make * 256 + last).astype(np.uint64)) >> np.uint64(64 - MAKE_BITS)).astype(np.int16)
+
+
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word buckets, make buckets, word hashes, row offsets)."""
     data, offsets = ta.utf8(texts)
     starts, ends, by_row = ta.words(data, offsets)
-    word = ta.Hasher(data).spans(starts, ends)
-    n = ends - starts
-    share = []
-    for kind in (1, 2, 3):
-        total = np.zeros(len(data) + 1, np.int32)
-        np.cumsum(_KIND[data] == kind, out=total[1:], dtype=np.int32)
-        count = total[ends] - total[starts]
-        share.append((count > 0).astype(np.int64) + (count > 1) + (count == n))
-    last = np.where(_KIND[data[ends - 1]] == 1, data[ends - 1], 0).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-    make = ((np.minimum(n, 15) * 4 + share[0]) * 4 + share[1]) * 4 + share[2]
-    make = ta.mix((make * 256 + last).astype(np.uint64)) >> np.uint64(64 - MAKE_BITS)
-    return (word >> np.uint64(64 - WORD_BITS)).astype(np.int32), make.astype(np.int32), word, by_row
+    word = ta.unit_hashes(data, starts, ends, exact=False)
+    make = [_makes(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]) for i, j in ta.windows(starts, ends)]
+    return (word >> np.uint64(64 - WORD_BITS)).astype(np.int32), np.concatenate(make) if make else np.zeros(0, np.int16), word, by_row
 
 
 @dataclass
@@ -199,6 +209,7 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 def score(documents: DataFrame, model: Model | None, otherwise: float = 0.5, threshold: float = THRESHOLD) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for part in ta.blocks(batches):
             texts = ta.text_column(part)
             p = model.probability(pool(texts, model.words, model.makes)) if model is not None else np.full(len(texts), otherwise)
@@ -209,11 +220,16 @@ def score(documents: DataFrame, model: Model | None, otherwise: float = 0.5, thr
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def _share(sizes: dict[int, int]) -> float:
+    """The score of every text where there is no model: the share of label 1."""
+    known = sum(sizes.values())
+    return sizes.get(1, 0) / known if known else 0.5
+
+
 def quality_scores(documents: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, per_class: int = 1500, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each document."""
     table, sizes = labelled.sample(learn_from if learn_from is not None else documents, labels, "quality", per_class)
-    known = sum(sizes.values())
-    return score(documents, fit(table, sizes), sizes.get(1, 0) / known if known else 0.5, threshold)
+    return score(documents, fit(table, sizes), _share(sizes), threshold)
 
 
 def keep_rows(documents: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, per_class: int = 1500, threshold: float = THRESHOLD) -> DataFrame:
@@ -221,9 +237,10 @@ def keep_rows(documents: DataFrame, labels: DataFrame, learn_from: DataFrame | N
     table, sizes = labelled.sample(learn_from if learn_from is not None else documents, labels, "quality", per_class)
     model = fit(table, sizes)
     if model is None:
-        return documents
+        return documents if _share(sizes) >= threshold else documents.limit(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for part in ta.blocks(batches):
             yield part.filter(pa.array(model.probability(pool(ta.text_column(part), model.words, model.makes)) >= threshold))
 

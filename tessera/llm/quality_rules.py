@@ -7,8 +7,10 @@ probability is calibrated (Platt) on a part of the sample left out of the fit, a
 scored in Arrow batches against a fixed threshold.
 
 Defined cases: null text counts as the empty text (all counts 0, base_failed). Rows with equal
-doc_id are scored one by one. Columns other than doc_id and text are ignored. Without labels of
-both classes there is no model, and the base rules alone decide.
+doc_id are scored one by one. `quality_rules` ignores columns other than doc_id and text, whatever
+their names; `keep_rows` hands them on. An empty table gives no rows. A long text is taken whole,
+in windows, so that it needs about 50 bytes for each of its words. Without labels of both classes
+there is no model, and the base rules alone decide.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import labelled
 from tessera.llm import text_arrays as ta
+from tessera.llm import worker
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -38,6 +41,11 @@ _SYMBOL[[ord(c) for c in SYMBOLS]] = True
 _SAME = np.uint64(12345)
 
 
+#: Words of one long text whose features are made at once.
+_STEP = 1 << 17
+_LINE = np.arange(256) != 10
+
+
 @dataclass
 class Block:
     """What the rules and the model need of one block of texts."""
@@ -48,75 +56,87 @@ class Block:
     n_dup_lines: np.ndarray
     n_repeat_words: np.ndarray
     dense: np.ndarray
-    families: list[tuple[np.ndarray, np.ndarray]]  # buckets of all rows, row offsets
+    data: np.ndarray
+    offsets: np.ndarray
+    words: np.ndarray  # hashes
+    by_row: np.ndarray
 
+    def ngrams(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(family, buckets, row offsets), in one piece for each family or, for one row, in several."""
+        shift = np.uint64(64 - TABLE_BITS)
+        if len(self.offsets) == 2:
+            for at in range(0, len(self.words), _STEP):
+                some = self.words[at : at + _STEP + 1]
+                for f, keys in ((0, some[:_STEP]), (1, _pairs(some[:-1], some[1:]))):
+                    yield f, (keys >> shift).astype(np.int32), np.array([0, len(keys)])
+            for f, n in ((2, 3), (3, 5)):
+                for points, many in ta.point_windows(self.data, n):
+                    at = np.arange(many)
+                    yield f, (ta.Hasher(points, exact=False).spans(at, at + n) >> shift).astype(np.int32), np.array([0, many])
+            return
+        yield 0, (self.words >> shift).astype(np.int32), self.by_row
+        row = ta.row_of(self.by_row)
+        inner = np.flatnonzero(row[1:] == row[:-1])
+        yield 1, (_pairs(self.words[inner], self.words[inner + 1]) >> shift).astype(np.int32), _offsets(np.maximum(np.diff(self.by_row) - 1, 0))
+        points, place = ta.code_points(self.data, self.offsets)
+        hasher, sizes = ta.Hasher(points, exact=False), np.diff(place)
+        for f, n in ((2, 3), (3, 5)):
+            counts = np.maximum(sizes - n + 1, 0)
+            offs = _offsets(counts)
+            at = np.arange(offs[-1]) + np.repeat(place[:-1] - offs[:-1], counts)
+            yield f, (hasher.spans(at, at + n) >> shift).astype(np.int32), offs
 
-def analyse(texts: pa.Array, with_ngrams: bool = True) -> Block:
-    data, offsets = ta.utf8(texts)
-    starts, ends, by_row = ta.words(data, offsets)
-    n_words = np.diff(by_row)
-    hasher = ta.Hasher(data)
-    word = hasher.spans(starts, ends)
-    row = ta.row_of(by_row).astype(np.uint64)
-    points, point_offsets, before = ta.code_points(data, offsets)
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of word pairs; a word followed by itself is one feature, whatever the word."""
+    return np.where(a == b, _SAME << np.uint64(48), ta.mix(a * np.uint64(3) + b))
+
+
+def _offsets(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)])
+
+
+def _repeat_words(word: np.ndarray, by_row: np.ndarray) -> np.ndarray:
+    """Words of each row in 3-word windows that the row has twice or more."""
     triple = np.zeros(len(word), bool)
     if len(word) > 2:
-        key = ta.mix(ta.mix(ta.mix(word[:-2] + row[:-2] * np.uint64(0x51ED270B)) + word[1:-1]) + word[2:])
-        whole = row[:-2] == row[2:]
-        at = np.flatnonzero(whole)
-        twice, _ = ta.repeated(key[at])
+        one_row = len(by_row) == 2
+        row = np.broadcast_to(np.uint64(0), len(word)) if one_row else ta.row_of(by_row).astype(np.uint64)
+        key = np.empty(len(word) - 2, np.uint64)
+        for at in range(0, len(key), _STEP):
+            w, r = word[at : at + _STEP + 2], row[at : at + _STEP]
+            r = r[: len(w) - 2]
+            key[at : at + _STEP] = ta.mix(ta.mix(ta.mix(w[:-2] + r * np.uint64(0x51ED270B)) + w[1:-1]) + w[2:])
+        if one_row:
+            twice, _ = ta.repeated(key)
+            hit = np.flatnonzero(twice)
+        else:
+            at = np.flatnonzero(row[:-2] == row[2:])
+            hit = at[ta.repeated(key[at])[0]]
         for shift in (0, 1, 2):
-            triple[at[twice] + shift] = True
-    n_repeat = ta.per_row(triple, by_row)
+            triple[hit + shift] = True
+    return np.add.reduceat(np.append(triple, False), by_row[:-1], dtype=np.int64) * (np.diff(by_row) > 0)
+
+
+def analyse(texts: pa.Array) -> Block:
+    data, offsets = ta.utf8(texts)
+    starts, ends, by_row = ta.words(data, offsets)
+    n_words = np.diff(by_row)
+    word = ta.unit_hashes(data, starts, ends)
+    n_repeat = _repeat_words(word, by_row)
 
-    line_starts, line_ends, lines_by_row = ta.runs(data != 10, offsets)
+    line_starts, line_ends, lines_by_row = ta.runs(_LINE, data, offsets)
     has_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
-    line_row = ta.row_of(lines_by_row).astype(np.uint64)
     full = np.flatnonzero(has_word)
-    _, later = ta.repeated(ta.mix(hasher.spans(line_starts[full], line_ends[full]) + line_row[full] * np.uint64(0x2545F491)))
+    line_row = ta.row_of(lines_by_row).astype(np.uint64)[full]
+    _, later = ta.repeated(ta.mix(ta.unit_hashes(data, line_starts[full], line_ends[full]) + line_row * np.uint64(0x2545F491)))
     dup = np.zeros(len(line_starts), bool)
     dup[full[later]] = True
     n_dup = ta.per_row(dup, lines_by_row)
 
-    chars = np.maximum(np.diff(point_offsets), 1)
-    dense = np.stack(
-        [
-            n_repeat / np.maximum(n_words, 1),
-            n_dup / np.maximum(ta.per_row(has_word, lines_by_row), 1),
-            ta.per_row((data >= 65) & (data <= 90), offsets) / chars,
-        ],
-        axis=1,
-    )
-    families = []
-    if with_ngrams:
-        shift = np.uint64(64 - TABLE_BITS)
-        families.append(((word >> shift).astype(np.int32), by_row))
-        inner = np.flatnonzero(row[1:] == row[:-1]) if len(row) > 1 else np.zeros(0, np.int64)
-        pair = ta.mix(word[inner] * np.uint64(3) + word[inner + 1]) if len(inner) else np.zeros(0, np.uint64)
-        # A word followed by itself is one feature, whatever the word.
-        pair = np.where(word[inner] == word[inner + 1], _SAME << np.uint64(48), pair) if len(inner) else pair
-        families.append(((pair >> shift).astype(np.int32), _pair_offsets(by_row)))
-        point_hash = ta.Hasher(points)
-        sizes = np.diff(point_offsets)
-        for n in (3, 5):
-            counts = np.maximum(sizes - n + 1, 0)
-            offs = np.concatenate([[0], np.cumsum(counts)])
-            at = np.arange(offs[-1]) + np.repeat(point_offsets[:-1] - offs[:-1], counts)
-            families.append(((point_hash.spans(at, at + n) >> shift).astype(np.int32), offs))
-    return Block(
-        n_words,
-        ta.per_row(before[ends] - before[starts], by_row),
-        ta.per_row(_SYMBOL[data], offsets),
-        n_dup,
-        n_repeat,
-        dense,
-        families,
-    )
-
-
-def _pair_offsets(by_row: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(np.maximum(np.diff(by_row) - 1, 0))])
+    chars = np.maximum(ta.row_counts(ta.LEAD, data, offsets), 1)
+    dense = np.stack([n_repeat / np.maximum(n_words, 1), n_dup / np.maximum(ta.per_row(has_word, lines_by_row), 1), ta.row_counts(ta.CAPITAL, data, offsets) / chars], axis=1)
+    return Block(n_words, ta.row_counts(ta.LEAD & ~ta.SPACE, data, offsets), ta.row_counts(_SYMBOL, data, offsets), n_dup, n_repeat, dense, data, offsets, word, by_row)
 
 
 @dataclass
@@ -128,9 +148,11 @@ class Model:
     shift: float = 0.0
 
     def probability(self, block: Block) -> np.ndarray:
-        logit = self.bias + block.dense @ self.dense
-        for table, (buckets, offs) in zip(self.tables, block.families, strict=True):
-            logit = logit + ta.per_row(table[buckets], offs, np.float64) / np.maximum(np.diff(offs), 1)
+        sums, counts = np.zeros((2, len(FAMILIES), len(block.n_words)))
+        for f, buckets, offs in block.ngrams():
+            sums[f] += ta.per_row(self.tables[f][buckets], offs, np.float64)
+            counts[f] += np.diff(offs)
+        logit = self.bias + block.dense @ self.dense + (sums / np.maximum(counts, 1)).sum(0)
         return sigmoid(self.slope * logit + self.shift)
 
 
@@ -147,13 +169,16 @@ def fit(table: pa.Table, sizes: dict[int, int], steps: int = 60, seed: int = 7)
     at = 0
     for part in ta.blocks(table.to_batches()):
         block = analyse(ta.text_column(part))
-        for f, (buckets, offs) in enumerate(block.families):
-            count = np.diff(offs)
+        pieces = list(block.ngrams())
+        count = np.zeros((len(FAMILIES), part.num_rows))
+        for f, _, offs in pieces:
+            count[f] += np.diff(offs)
+        for f, buckets, offs in pieces:
             key, n = np.unique(ta.row_of(offs).astype(np.int64) << TABLE_BITS | buckets, return_counts=True)
             r = key >> TABLE_BITS
             rows.append((r + at).astype(np.int32))
             cols.append(((key & ((1 << TABLE_BITS) - 1)) + (f << TABLE_BITS)).astype(np.int32))
-            values.append((n / count[r]).astype(np.float32))
+            values.append((n / count[f][r]).astype(np.float32))
         dense.append(block.dense)
         at += part.num_rows
     r, c, v, d = np.concatenate(rows), np.concatenate(cols), np.concatenate(values), np.concatenate(dense)
@@ -220,8 +245,9 @@ def score(documents: DataFrame, model: Model | None, threshold: float = THRESHOL
     """One row of statistics and verdicts per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for part in ta.blocks(batches):
-            block = analyse(ta.text_column(part), model is not None)
+            block = analyse(ta.text_column(part))
             failed = base_failed(block)
             p = model.probability(block) if model is not None else np.ones(len(failed))
             yield pa.RecordBatch.from_arrays(
@@ -244,8 +270,9 @@ def keep_rows(documents: DataFrame, labels: DataFrame, learn_from: DataFrame | N
     model = fit(table, sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for part in ta.blocks(batches):
-            block = analyse(ta.text_column(part), model is not None)
+            block = analyse(ta.text_column(part))
             yield part.filter(pa.array(verdict(block, model, threshold)))
 
     return documents.mapInArrow(run, documents.schema)

@@ -3,10 +3,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup
+from tessera.llm import text_arrays as ta
 from tessera.llm.components import connected_components
 from tessera.llm.scratch import Scratch
 
@@ -71,6 +73,23 @@ def test_all_pairs(spark, monkeypatch, n, component, node):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_documents_that_collide_modulo_powers_of_two(spark):
+    words = ["".join("ab"[(bin(k).count("1") + d) % 2] for k in range(2048)) for d in (0, 1)]
+    df = spark.createDataFrame([(k, f"t {w}") for k, w in enumerate(words)], "doc_id long, text string")
+    assert all(r["kept"] for r in near_dedup.near_duplicates(spark, df, n=2).collect())
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_sets_of_long_texts_by_windows(monkeypatch, n):
+    texts = [t or "" for t in corpus().values()]
+    sets, offsets = near_dedup.shingle_sets(pa.array(texts, pa.large_string()), n)
+    monkeypatch.setattr(ta, "BLOCK_BYTES", 32)
+    monkeypatch.setattr(near_dedup, "SET_BLOCK", 7)
+    for k, t in enumerate(texts):
+        own, _ = near_dedup.shingle_sets(pa.array([t], pa.large_string()), n)
+        assert own.tolist() == sets[offsets[k] : offsets[k + 1]].tolist() and len(own) == len(shingles(t, n))
+
+
 def test_edges(spark, hard, no_documents):
     got = near_dedup.near_duplicates(spark, hard, n=2).collect()
     assert len(got) == hard.count()

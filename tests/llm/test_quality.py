@@ -1,14 +1,17 @@
 """Exact statistics against plain Python, and models by held-out accuracy."""
 
 import collections
+import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import quality_classifier, quality_rules
+from tessera.llm import text_arrays as ta
 from tessera.llm.labelled import held_out
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -34,6 +37,90 @@ def test_statistics(texts):
     assert got == [plain(t) for t in texts]
 
 
+def statistics(texts):
+    b = quality_rules.analyse(pa.array(texts, pa.large_string()))
+    return list(zip(*(x.tolist() for x in (b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, b.n_repeat_words)), strict=True))
+
+
+@settings(max_examples=200, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text("ab é\n\t|*\r\x1c中", max_size=300))
+def test_statistics_of_long_texts_by_windows(monkeypatch, text):
+    with monkeypatch.context() as m:
+        m.setattr(ta, "BLOCK_BYTES", 16)
+        m.setattr(quality_rules, "_STEP", 8)
+        assert statistics([text]) == [plain(text)]
+
+
+def thue_morse(bits):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(1 << bits)), "".join("ba"[bin(k).count("1") % 2] for k in range(1 << bits))
+
+
+def test_lines_that_collide_modulo_powers_of_two():
+    a, b = thue_morse(11)
+    text = f"x {a}\nx {b}\nx {a}"
+    assert statistics([text, text]) == [plain(text)] * 2 and plain(text)[3] == 1
+
+
+def model_of(sample):
+    table = pa.table({"doc_id": range(len(sample)), "text": [t for t, _ in sample], "y": [y for _, y in sample]})
+    sizes = {0: sum(y == 0 for _, y in sample), 1: sum(y == 1 for _, y in sample)}
+    return quality_rules.fit(table, sizes, steps=20), quality_classifier.fit(table, sizes, steps=20)
+
+
+def some_texts(n, seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdeé中#4B") for _ in range(r.randint(1, 9)))
+    return [r.choice([" ", "\n", "  "]).join(word() for _ in range(r.randint(0, 200))) for _ in range(n)]
+
+
+def test_scores_do_not_depend_on_blocks_or_windows(monkeypatch):
+    rules, classifier = model_of([(t, k % 2) for k, t in enumerate(some_texts(40, 1))])
+    texts = some_texts(20, 2) + ["", "x", "y" * 300]
+    column = pa.array(texts, pa.large_string())
+    together = rules.probability(quality_rules.analyse(column)), classifier.probability(quality_classifier.pool(column, classifier.words, classifier.makes))
+    monkeypatch.setattr(ta, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(quality_rules, "_STEP", 16)
+    monkeypatch.setattr(quality_classifier, "_POOL_WORDS", 10)
+    for k in range(len(texts)):
+        if len(texts[k]) == 300:  # a word beyond a window has a hash of another kind
+            continue
+        one = column.slice(k, 1)
+        assert np.isclose(rules.probability(quality_rules.analyse(one))[0], together[0][k], rtol=1e-9)
+        assert np.isclose(classifier.probability(quality_classifier.pool(one, classifier.words, classifier.makes))[0], together[1][k], rtol=1e-5)
+
+
+def test_pooling_by_plain_loops():
+    """The classifier's score of each text from its own tables, word by word."""
+    _, m = model_of([(t, k % 2) for k, t in enumerate(some_texts(40, 1))])
+    texts = some_texts(15, 3) + [""]
+    got = m.probability(quality_classifier.pool(pa.array(texts, pa.large_string()), m.words, m.makes))
+    for text, score in zip(texts, got, strict=True):
+        w = WORD.findall(text)
+        v = []
+        for x in w:
+            raw = np.frombuffer(x.encode(), np.uint8)
+            word, make = (f[0][0] for f in [[quality_classifier._words(pa.array([x], pa.large_string()))[k]] for k in (0, 1)])
+            assert len(raw) and make < len(m.makes)
+            v.append(np.concatenate([m.words[word], m.makes[make]]).astype(float))
+        dims = m.words.shape[1] + m.makes.shape[1]
+        mean = np.mean(v, 0) if v else np.zeros(dims)
+        steps = sum((np.abs(b - a) for a, b in zip(v, v[1:], strict=False)), np.zeros(dims)) / max(len(v), 1)
+        later = sum(x in w[:k] for k, x in enumerate(w)) / max(len(w), 1)
+        same = sum(a == b for a, b in zip(w, w[1:], strict=False)) / max(len(w), 1)
+        pooled = np.concatenate([mean, steps, [later, same, np.log1p(len(w)) / 10]])
+        z = (pooled - m.mean) / m.scale * (len(w) / (len(w) + 8))
+        hidden = np.tanh(z @ m.w1 + m.b1)
+        want = 1 / (1 + np.exp(-np.clip((hidden @ m.w2 + m.b2) / m.temperature + m.shift, -40, 40)))
+        assert abs(score - want) < 1e-4
+
+
+def test_without_a_model_both_ways_agree(spark, no_labels):
+    docs = spark.createDataFrame([(i, "some text", "x") for i in range(20)], "doc_id long, text string, score string")
+    for labels, kept in ((no_labels, 20), (spark.createDataFrame([(i, 0, 0) for i in range(20)], "doc_id long, quality int, toxic int"), 0)):
+        assert {r["predicted"] for r in quality_classifier.quality_scores(docs, labels).collect()} == {int(kept > 0)}
+        assert quality_classifier.keep_rows(docs, labels).count() == kept
+
+
 def test_edges(spark, hard, no_documents, no_labels):
     rows = quality_rules.quality_rules(hard, no_labels).collect()
     want = sorted(plain(r["text"] or "") for r in hard.collect())
