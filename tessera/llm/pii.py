@@ -14,8 +14,8 @@ is added unless it overlaps a base span or fails its kind's check; base spans al
 
 Defined cases: null text counts as empty (no spans). Positions count code points, ends are
 exclusive. Rows with equal doc_id are read one by one; columns other than doc_id and text are
-ignored by `find_pii` and kept by `redact`. Long runs of digits or of address characters take
-linear time.
+ignored by `find_pii`, whatever their names, and kept by `redact`. An empty table gives no rows.
+Long texts, long words and long runs of digits or of address characters take linear time.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import crf
 from tessera.llm import text_arrays as ta
+from tessera.llm import worker
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -109,10 +111,16 @@ LABELS = 1 + 2 * len(KINDS)  # 0: none; 1 + 2k: a span of kind k begins; 2 + 2k:
 NEIGHBOURS = 3
 
 
-@lru_cache(1 << 14)
+def _remembered(f):
+    """f with a cache for words of usual length; longer ones are read each time."""
+    cached = lru_cache(1 << 14)(f)
+    return lambda word, *more: cached(word, *more) if len(word) <= 64 else f(word, *more)
+
+
+@_remembered
 def _shape(word: str) -> str:
     out: list[str] = []
-    for c in word[:64]:
+    for c in word:
         k = "9" if "0" <= c <= "9" else "a" if c.islower() else "A" if c.isupper() else "a" if c.isalpha() else c
         if k in "aA" and out and out[-1] in "aA":
             continue
@@ -148,7 +156,7 @@ def _value(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % FEATURES
 
 
-@lru_cache(1 << 14)
+@_remembered
 def _own_features(word: str) -> tuple[int, ...]:
     a, b = _trim(word)
     core = word[a:b]
@@ -169,30 +177,61 @@ def _own_features(word: str) -> tuple[int, ...]:
     )
 
 
-@lru_cache(1 << 14)
+@_remembered
 def _side_feature(word: str, side: str) -> int:
     a, b = _trim(word)
     shape = _shape(word[a:b])
     return _value(f"{side} {shape if 'd' in shape else 'word'}")
 
 
+_DOUBLED = np.array([sum(divmod(2 * d, 10)) for d in range(10)])
+
+
+def _card_groups(core: list[str]) -> Iterator[tuple[int, bool]]:
+    """(words, do they pass the checks of a card) for the groups of a run of digit words: all that is
+    left of the run if that passes, else the shortest group from where one begins, else one word."""
+    n = len(core)
+    place = np.concatenate([[0], np.cumsum([len(c) for c in core])])
+    digits = np.frombuffer("".join(core).encode(), np.uint8) - 48
+    # Luhn sums of any stretch from two prefix sums: the plain digits are those of the last one's parity.
+    odd = np.arange(len(digits)) % 2 == 1
+    sums = [np.concatenate([[0], np.cumsum(np.where(odd == last, digits, _DOUBLED[digits]))]) for last in (0, 1)]
+    # Each of the words has a digit, so that more than 19 of them aren't a card.
+    step = np.arange(1, 20)
+    whole, first = np.zeros(n, bool), np.zeros(n, np.int64)
+    for at in range(0, n, 1 << 15):
+        k = np.arange(at, min(at + (1 << 15), n))
+        end = k[:, None] + step
+        low, high = place[k][:, None], place[np.minimum(end, n)]
+        total = np.where(high % 2 == 1, sums[0][high] - sums[0][low], sums[1][high] - sums[1][low])
+        fine = (end <= n) & (high - low >= 12) & (high - low <= 19) & (total % 10 == 0)
+        whole[k] = (fine & (end == n)).any(1)
+        inner = fine & (end < n)
+        first[k] = np.where(inner.any(1), inner.argmax(1) + 1, 0)
+    k = 0
+    while k < n:
+        size = n - k if whole[k] else int(first[k])
+        yield max(size, 1), size > 0
+        k += max(size, 1)
+
+
+@lru_cache(8)
+def _run_feature(found: bool, many: bool, digit: bool) -> int:
+    return _value(f"run {found} {many} {digit}")
+
+
 def _group_features(words: list[str]) -> list[int]:
     """For each word, is it in a group of all-digit words that passes the checks of a card: a whole
     run of them, or the shortest group from where one begins. Punctuation ends a run."""
     core = ["".join(w[slice(*_trim(w))].split("-")) for w in words]
     digits = [c.isascii() and c.isdigit() for c in core]
     out: list[int] = []
-    stop = 0
     while (k := len(out)) < len(words):
-        if stop <= k:
-            stop = k
-            while stop < len(words) and digits[stop] and (stop == k or words[stop - 1][-1:] in "0123456789"):
-                stop += 1
-        # Each of the words has a digit, so that more than 19 of them aren't a card.
-        ends = [*([stop] if stop <= k + 19 else []), *range(k + 1, min(stop, k + 20))]
-        end = next((e for e in ends if 12 <= sum(map(len, core[k:e])) <= 19 and luhn("".join(core[k:e]))), None)
-        size = max((end or k + 1) - k, 1)
-        out += [_value(f"run {end is not None} {size > 1} {digits[k]}")] * size
+        stop = k
+        while stop < len(words) and digits[stop] and (stop == k or words[stop - 1][-1:] in "0123456789"):
+            stop += 1
+        for size, found in _card_groups(core[k:stop]) if stop > k else [(1, False)]:
+            out += [_run_feature(found, size > 1, digits[k])] * size
     return out
 
 
@@ -277,17 +316,24 @@ def train() -> crf.Crf:
 
 def neighbourhoods(text: str) -> list[list[tuple[int, int]]]:
     """Word spans in stretches around words with a digit or @."""
-    spans = [m.span() for m in _WORD.finditer(text)]
     out: list[list[tuple[int, int]]] = []
-    reach = -1
-    for k, (a, b) in enumerate(spans):
-        if _SOME.search(text, a, b):
-            start = max(k - NEIGHBOURS, 0)
-            if out and start <= reach:
-                out[-1] += spans[reach : k + NEIGHBOURS + 1]
+    before: deque[tuple[int, int]] = deque(maxlen=NEIGHBOURS)  # words since the last stretch
+    wanted = gap = 0  # words that the last stretch still takes, and words since it
+    for m in _WORD.finditer(text):
+        span = m.span()
+        if _SOME.search(text, *span):
+            if out and gap <= NEIGHBOURS:
+                out[-1] += [*before, span]
             else:
-                out.append(spans[start : k + NEIGHBOURS + 1])
-            reach = min(k + NEIGHBOURS + 1, len(spans))
+                out.append([*before, span])
+            before.clear()
+            wanted, gap = NEIGHBOURS, 0
+        elif wanted:
+            out[-1].append(span)
+            wanted -= 1
+        else:
+            before.append(span)
+            gap += 1
     return out
 
 
@@ -373,6 +419,7 @@ def find_pii(documents: DataFrame, model: crf.Crf | None = None) -> DataFrame:
     model = model or train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for part in ta.blocks(batches):
             found = _spans_of_rows(model, ta.text_column(part))
             counts = [[sum(s[1] == k for s in every) for _, every in found] for k in range(len(KINDS))]
@@ -405,6 +452,7 @@ def redact(documents: DataFrame, model: crf.Crf | None = None) -> DataFrame:
     where = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for part in ta.blocks(batches):
             texts = ta.text_column(part)
             found = _spans_of_rows(model, texts)

@@ -74,6 +74,31 @@ def test_long_runs_of_numbers_take_linear_time():
     assert pii.field_spans(pii.train(), ["1 " * 50_000, "1234 " * 50_000])
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("1234567890", min_size=1, max_size=6), min_size=1, max_size=40))
+def test_groups_of_digit_words(words):
+    """The vectorised groups against the rule told plainly."""
+    fine = lambda some: 12 <= sum(map(len, some)) <= 19 and pii.luhn("".join(some))
+    want, k = [], 0
+    while k < len(words):
+        ends = [*([len(words)] if fine(words[k:]) else []), *(e for e in range(k + 1, min(k + 20, len(words))) if fine(words[k:e]))]
+        want.append((ends[0] - k if ends else 1, bool(ends)))
+        k += want[-1][0]
+    assert list(pii._card_groups(words)) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["one", "two", "1", "22", "a1"]), max_size=700))
+def test_a_phone_is_found_whatever_stands_before(before):
+    text = " ".join([*before, "call me at (643) 555-5742 or so"])
+    at = text.index("(643)")
+    assert (at, 3, at + 14) in pii.field_spans(pii.train(), [text])[0]
+
+
+def test_shapes_read_whole_words():
+    assert pii._shape("#" * 100 + "1") != pii._shape("#" * 100 + "a")
+
+
 def test_documents(spark, hard, no_documents):
     rows = [(1, "call +1 (643) 555-5742, or (643) 555-5742 now"), (2, None), (3, "x 4111 1111 1111 1111 4111111111111111 y"), (4, "mail a.b@c.example.com. id 9482738473829384"), (4, "a@b.co"), (5, "nothing here")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, spans string")
