@@ -14,29 +14,38 @@ merge of each word. Characters that no piece has become byte pieces.
 White-space marks that a text holds itself are written as byte pieces, so that `decode` gives back
 every text; only for those texts do the ids differ from the library's at dropout 0.
 
+Longer words (`LONG_WORD`) are merged alone, with a heap as their agenda: n log n steps, and about
+300 bytes for each of their characters.
+
+Ids are packed in 16 bits, or 32 for models of more than 65,536 pieces.
+
 Defined cases: null text is the empty text (no pieces). Rows with equal doc_id are encoded one by
-one; other columns are ignored.
+one; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm import bpe
 from tessera.llm import text_arrays as ta
+from tessera.llm import worker
 
 MARK = "▁"
 DROPOUT = 0.1
 SEED = 1
 CACHE_WORDS = 200_000
+LONG_WORD = 2048
 _UNITS = re.compile(r" +[^ ]*|[^ ]+")
 _NONE = np.int32(2**31 - 1)
+_PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 class Vocabulary:
@@ -47,6 +56,7 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
+        self.kind = "<u2" if n <= 1 << 16 else "<u4"
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         normal = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.byte_id = np.zeros(256, np.int32)
@@ -86,6 +96,12 @@ class Vocabulary:
             slot[todo] = (slot[todo] + 1) & (size - 1)
         self._longest = self._longest_run()
 
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """(rank, made piece) by key, for one look-up at a time."""
+        some = np.flatnonzero(self._keys >= 0)
+        return dict(zip(self._keys[some].tolist(), zip(self._rank[some].tolist(), self._made[some].tolist(), strict=True), strict=True))
+
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return (ta.mix(key.astype(np.uint64)) >> np.uint64(64 - self._bits)).astype(np.int64)
 
@@ -112,19 +128,64 @@ class Vocabulary:
 
 
 class Encoder:
-    """Texts to pieces' ids (16-bit, packed), under one seed."""
+    """Texts to pieces' ids (packed), under one seed."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, model: str | Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
+        self.vocabulary = model if isinstance(model, Vocabulary) else Vocabulary(model)
         self._below = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
         self._seed = ta.mix(np.array([seed], np.uint64))[0]
         self._now: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
     def _dropped(self, word: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
-        place = (start.astype(np.uint64) << np.uint64(42)) | (middle.astype(np.uint64) << np.uint64(21)) | end.astype(np.uint64)
+        place = start.astype(np.uint64) * _PLACE[0] + middle.astype(np.uint64) * _PLACE[1] + end.astype(np.uint64) * _PLACE[2]
         return ta.mix(ta.mix(word ^ self._seed) ^ place) < self._below
 
+    def _merge_long(self, word: str) -> bytes:
+        """Packed ids of one word of any length."""
+        v, n = self.vocabulary, len(word)
+        raw = np.frombuffer(word.encode(), np.uint8)
+        key = ta.unit_hashes(raw, np.array([0]), np.array([len(raw)]))
+        token = [v.char_id.get(MARK if c == " " else c, -1) if c != MARK else -1 for c in word]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        agenda: list[tuple[int, int, int, int]] = []
+
+        def add(places: list[int]) -> None:
+            """Put the merges of the symbols at these places with their next ones on the agenda."""
+            some = []
+            for left in places:
+                middle = after[left]
+                if middle < n and token[left] >= 0 and token[middle] >= 0:
+                    hit = v.pairs.get(token[left] << 20 | token[middle])
+                    if hit is not None:
+                        some.append((hit[0], left, middle, after[middle]))
+            if some and self._below:
+                at = np.array(some)[:, 1:].T
+                some = [x for x, off in zip(some, self._dropped(key, *at).tolist(), strict=True) if not off]
+            for x in some:
+                heapq.heappush(agenda, x)
+
+        for at in range(0, n, 1 << 16):
+            add(list(range(at, min(at + (1 << 16), n))))
+        gone = bytearray(n)
+        while agenda:
+            _, left, middle, end = heapq.heappop(agenda)
+            # An entry holds while both its symbols are as they were.
+            if gone[left] or gone[middle] or after[left] != middle or after[middle] != end:
+                continue
+            token[left] = v.pairs[token[left] << 20 | token[middle]][1]
+            gone[middle] = 1
+            after[left] = end
+            if end < n:
+                before[end] = left
+            add([left, before[left]] if before[left] >= 0 else [left])
+        out: list[int] = []
+        at = 0
+        while at < n:
+            out += [token[at]] if token[at] >= 0 else v.byte_id[list(word[at].encode())].tolist()
+            at = after[at]
+        return np.asarray(out, v.kind).tobytes()
+
     def _merge(self, words: list[str]) -> list[bytes]:
         """Packed ids of words, all of one length."""
         v, n, width = self.vocabulary, len(words), len(words[0])
@@ -178,8 +239,8 @@ class Encoder:
         out = []
         plain = ~unknown.any(1)
         counts = alive.sum(1)
-        flat = token[alive].astype("<u2").tobytes()
-        ends = (2 * np.cumsum(counts)).tolist()
+        flat = token[alive].astype(v.kind).tobytes()
+        ends = (np.dtype(v.kind).itemsize * np.cumsum(counts)).tolist()
         at = 0
         for k, end in enumerate(ends):
             if plain[k]:
@@ -188,7 +249,7 @@ class Encoder:
                 parts = []
                 for i in np.flatnonzero(alive[k]).tolist():
                     parts += v.byte_id[list(words[k][i].encode())].tolist() if unknown[k, i] else [int(token[k, i])]
-                out.append(np.asarray(parts, "<u2").tobytes())
+                out.append(np.asarray(parts, v.kind).tobytes())
             at = end
         return out
 
@@ -198,6 +259,9 @@ class Encoder:
             by_length.setdefault(len(w), []).append(w)
         out: dict[str, bytes] = {}
         for length, group in by_length.items():
+            if length > LONG_WORD:
+                out |= {w: self._merge_long(w) for w in group}
+                continue
             step = max(1, 400_000 // length)
             for i in range(0, len(group), step):
                 out |= dict(zip(group[i : i + step], self._merge(group[i : i + step]), strict=True))
@@ -230,32 +294,31 @@ class Decoder:
 
     def __init__(self, vocabulary: Vocabulary):
         byte = vocabulary.byte_of
+        self._kind = vocabulary.kind
         self._bytes = [byte.get(i, p.replace(MARK, " ").encode()) for i, p in enumerate(vocabulary.pieces)]
 
     def __call__(self, packed: bytes) -> str:
-        raw = b"".join(map(self._bytes.__getitem__, np.frombuffer(packed, "<u2").tolist()))
+        raw = b"".join(map(self._bytes.__getitem__, np.frombuffer(packed, self._kind).tolist()))
         return raw.decode("utf-8", errors="replace")[1:]
 
 
-_made: dict[tuple, tuple[Encoder, Decoder]] = {}
-
-
 def _worker_copy(model: str, dropout: float, seed: int) -> tuple[Encoder, Decoder]:
-    key = (model, dropout, seed)
-    if key not in _made:
+    def make() -> tuple[Encoder, Decoder]:
         encoder = Encoder(model, dropout, seed)
-        _made[key] = encoder, Decoder(encoder.vocabulary)
-    return _made[key]
+        return encoder, Decoder(encoder.vocabulary)
+
+    return worker.hold(("pieces", model, dropout, seed), make)
 
 
 def encode(documents: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_pieces, ids) of each document; ids are little-endian unsigned 16-bit numbers."""
+    """(doc_id, n_pieces, ids) of each document; ids are little-endian unsigned numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _worker_copy(model, dropout, seed)
+        width = np.dtype(encoder.vocabulary.kind).itemsize
         for part in ta.blocks(batches, limit=1 << 20):
             ids = encoder(ta.text_column(part).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_pieces", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_pieces", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids binary")
 
@@ -276,12 +339,13 @@ def round_trip(documents: DataFrame, model: str, dropout: float = DROPOUT, seed:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _worker_copy(model, dropout, seed)
+        width = np.dtype(encoder.vocabulary.kind).itemsize
         for part in ta.blocks(batches, limit=1 << 20):
             texts = ta.text_column(part).to_pylist()
             ids = encoder(texts)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                    part.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                     pa.array([decoder(x) == t if x else not t for x, t in zip(ids, texts, strict=True)], pa.bool_()),
                 ],
                 names=["doc_id", "n_pieces", "ids_crc32", "lossless"],

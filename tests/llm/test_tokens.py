@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import HARD_TEXTS  # noqa: F401
 from hypothesis import given, settings
@@ -18,20 +19,41 @@ def library(byte_bpe):
     return pytest.importorskip("tokenizers").Tokenizer.from_file(byte_bpe)
 
 
+@pytest.fixture(scope="module")
+def pieces(piece_bpe):
+    return merge_dropout.Vocabulary(piece_bpe)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(ALPHABET, max_size=60), min_size=1, max_size=6))
 def test_ids_are_the_librarys(library, byte_bpe, texts):
     texts = [*texts, "x <|endoftext|> y<|endoftext|>", *texts]
-    packed = bpe.worker_copy(bpe.Packer, byte_bpe)(texts)
-    for t, p in zip(texts, packed, strict=True):
-        assert np.frombuffer(p, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
-    assert bpe.worker_copy(bpe.Counter, byte_bpe)(texts) == [len(p) // 2 for p in packed]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = bpe.worker_copy(byte_bpe)
+    n, ids = encoder.ids(pa.array(texts, pa.large_string()))
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert encoder.counts(pa.array(texts, pa.large_string())).tolist() == n.tolist()
+
+
+def test_ids_of_every_character(library, byte_bpe):
+    chars = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    texts = ["".join(f"a{c}b {c}c d{c} {c} " for c in chars[i : i + 4096]) for i in range(0, len(chars), 4096)]
+    encoder = bpe.worker_copy(byte_bpe)
+    for t in texts:
+        assert encoder.ids(pa.array([t], pa.large_string()))[1].tolist() == library.encode(t, add_special_tokens=False).ids
+
 
+def test_ids_of_long_texts_by_windows(library, byte_bpe):
+    encoder = bpe.Encoder(byte_bpe, window=64)
+    for t in ("word gap  end. " * 60, "x" * 500, " lead" * 100, "é中 " * 90, "a <|endoftext|>b " * 30, "it's we'll 12 " * 40):
+        n, ids = encoder.ids(pa.array([t], pa.large_string()))
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids and n.tolist() == [len(ids)]
 
-def test_cache_generations(byte_bpe, library):
-    small = bpe.Packer(byte_bpe, parts=4)
-    for t in ["a b c d e f g", "a z", "g f e", "a b c d e f g"] * 3:
-        assert np.frombuffer(small([t])[0], "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+
+def test_table_is_emptied_when_full(byte_bpe, library):
+    small = bpe.Encoder(byte_bpe, slots=16)
+    for t in ["a b c d e f g", "a z", "g f e", "h i j k l m n o p q r s t u v w x"[:19], "a b c d e f g"] * 3:
+        assert small.ids(pa.array([t], pa.large_string()))[1].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_counts(spark, hard, no_documents, library, byte_bpe, piece_bpe):
@@ -69,6 +91,28 @@ def test_packing(spark, hard, no_documents, library, byte_bpe):
     assert packing.pack(spark, no_documents, byte_bpe).count() == 0
 
 
+@pytest.mark.parametrize("dropout", [0.0, 0.3])
+def test_long_words_by_the_agenda(piece_bpe, monkeypatch, dropout):
+    """Words merged alone have the pieces that they have when merged with others."""
+    e = merge_dropout.Encoder(piece_bpe, dropout)
+    r = np.random.default_rng(4)
+    words = ["".join(r.choice(list("etaoinsé中▁"), 60)) for _ in range(50)] + [" " + "abc" * 20, "=" * 61]
+    hashes = iter(())
+    for w in words:
+        together = e._merge([w])
+        key = merge_dropout.ta.Hasher(np.frombuffer(w.encode("utf-32-le"), np.uint32)).spans(np.array([0]), np.array([len(w)]))
+        hashes = iter([key])
+        with monkeypatch.context() as m:
+            m.setattr(merge_dropout.ta, "unit_hashes", lambda *a: next(hashes))
+            assert [e._merge_long(w)] == together
+
+
+def test_long_words_decode(piece_bpe):
+    e = merge_dropout.Encoder(piece_bpe, 0.1)
+    text = "x" * 20_000 + " " + "abé中" * 3000 + "▁ end"
+    assert merge_dropout.Decoder(e.vocabulary)(e([text])[0]) == text
+
+
 def test_permutation():
     for n in (1, 2, 5, 16, 17, 1000, 4097):
         p = training_order.Permutation(n)
@@ -101,14 +145,14 @@ def test_shards(spark, hard, no_documents, byte_bpe, tmp_path):
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(ALPHABET, max_size=40), min_size=1, max_size=5), st.integers(0, 5))
-def test_pieces(piece_bpe, texts, seed):
+def test_pieces(pieces, piece_bpe, texts, seed):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=piece_bpe)
-    plain, decoder = merge_dropout._worker_copy(piece_bpe, 0.0, 0)
+    plain, decoder = merge_dropout.Encoder(pieces, 0.0, 0), merge_dropout.Decoder(pieces)
     for t, p in zip(texts, plain(texts), strict=True):
         assert decoder(p) == t
         if "▁" not in t:
             assert np.frombuffer(p, "<u2").tolist() == sp.encode(t)
-    dropped, _ = merge_dropout._worker_copy(piece_bpe, 0.3, seed)
+    dropped = merge_dropout.Encoder(pieces, 0.3, seed)
     assert [decoder(p) for p in dropped(texts)] == texts
 
 
