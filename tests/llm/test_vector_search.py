@@ -47,6 +47,33 @@ def test_copies_and_odd_vectors(spark):
     assert got == {q: [v for v, _ in hits] for q, hits in want.items()}
 
 
+def test_thousands_of_ties(spark):
+    """Unequal vectors with one inner product: the smallest ids win, however many there are."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.zeros((3000, 1)), rng.integers(-50, 50, (3000, 3))], 1)
+    x[:, 0] = 8
+    x[0] = [1, 0, 0, 0]
+    got = vector_search.nearest(spark, frame(spark, np.arange(3000), x).repartition(4), share=1.0).where("query_id = 0").orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 8.0) for i in range(1, 21)]
+
+
+def test_near_copies_fill_one_range(spark, monkeypatch):
+    """Keys that half of all vectors share: their range is cut into parts, and nothing is lost."""
+    monkeypatch.setattr(vector_search, "QUERY_ROWS", 32)
+    monkeypatch.setattr(vector_search, "STRETCH", 100)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 8))
+    x[:1000] = x[0] + 1e-9 * rng.normal(size=(1000, 8))
+    x = x.astype(np.float32).astype(float)
+    ids = np.arange(2000)
+    want = brute(ids, x, 20)
+    got = {}
+    for r in vector_search.nearest(spark, frame(spark, ids, x), share=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in want:
+        assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]], rtol=1e-12) and len({v for v, _ in got[q]}) == 20
+
+
 def test_few_vectors(spark):
     one = frame(spark, [0], np.ones((1, 3)))
     assert vector_search.nearest(spark, one).count() == 0
