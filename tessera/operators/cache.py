@@ -31,6 +31,12 @@ def accessed(cache: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
+def entries(vectors: DataFrame, model: str, now: Column, kind: str = "document", project: str | None = None) -> DataFrame:
+    """Cache rows of vectors (content_hash, embedding), used once so far; stored, they replace those of their keys."""
+    given = {"embedding_type": F.lit(kind), "model": F.lit(model), "project": F.lit(project).cast("string"), "created_at": now, "last_accessed": now, "access_count": F.lit(1).cast("long")}
+    return vectors.select("content_hash", "embedding", *[v.alias(k) for k, v in given.items()])
+
+
 def evict_lru(cache: DataFrame, keep: int = 5000) -> DataFrame:
     """The `keep` entries used last (ties by key); a top-k, so nothing is sorted as a whole."""
     return cache.orderBy(F.desc("last_accessed"), "content_hash").limit(keep)

@@ -1,7 +1,7 @@
 """Embedding providers, and a column function that calls one in Arrow batches.
 
-A provider is any object with `documents(list[str])` and `query(str)` that gives vectors. The HTTP
-ones take a transport, so that nothing here needs a network.
+A provider is any object with `documents(list[str])` and `query(str)` that gives vectors; it may
+have `batch_texts`, the texts of one call. The HTTP ones take a transport, so that nothing here needs a network.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -33,10 +34,17 @@ class Provider(Protocol):
 
 
 class HttpError(Exception):
+    """A provider's answer other than success; `kind` says what it means."""
+
     def __init__(self, status: int, body: str = ""):
         super().__init__(f"status {status}: {body[:200]}")
         self.status = status
 
+    @property
+    def kind(self) -> str:
+        known = {400: "bad request", 401: "not authorised", 429: "too many requests"}
+        return known.get(self.status, "server error" if self.status >= 500 else "error")
+
 
 Transport = Callable[[str, dict, dict], dict]
 
@@ -48,6 +56,8 @@ def http_post(url: str, headers: dict, body: dict) -> dict:
             return json.load(r)
     except urllib.error.HTTPError as e:
         raise HttpError(e.code, e.read().decode(errors="replace")) from e
+    except urllib.error.URLError as e:  # refused, unreachable, no such host
+        raise ConnectionError(str(e.reason)) from e
 
 
 def with_retries(call: Callable[[], dict], attempts: int = 4, base_seconds: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> dict:
@@ -154,7 +164,7 @@ def embed(text: Column, provider: Provider, dimension: int) -> Column:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             out: list = []
-            for batch in packed(part.fillna("").tolist()):
+            for batch in packed(part.fillna("").tolist(), getattr(provider, "batch_texts", BATCH_TEXTS)):
                 try:
                     out += [v if len(v) == dimension else None for v in provider.documents(batch)]
                 except (HttpError, TimeoutError, ConnectionError):

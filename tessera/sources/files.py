@@ -44,8 +44,12 @@ def project_name(name: str) -> str:
 def scan(spark: SparkSession, base: str, extensions: list[str] = fixed.SOURCE_EXTENSIONS) -> DataFrame:
     """(path, length, modified, content, content_hash) of a tree's source files, path relative to it.
 
-    A tree without such files gives no rows.
+    A tree without such files, or that isn't there, gives no rows.
     """
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(base)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "path string, length long, modified timestamp, content string, content_hash string")
     glob = "*.{" + ",".join(extensions) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(base)
     prefix = F.lit(base.rstrip("/").removeprefix("file://") + "/")
@@ -65,10 +69,13 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_as_memory(spark: SparkSession, path: str, tags: list[str] = ()) -> DataFrame:
-    """(name, text, tags, warn) of one file of at most 10 MiB; its name and extension become tags."""
+    """(name, text, tags, warn) of one file; its name and extension become tags. Raises above 10 MiB."""
     row = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     stem, ext = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"\.([^.]+)$", 1)
     own = F.array(F.concat(F.lit("file-"), F.lower(ext)), F.concat(F.lit("filename-"), F.lower(stem)))
     given = F.array(*[F.lit(t) for t in tags]).cast("array<string>")
-    return row.where(F.col("length") <= MAX_FILE_BYTES).select(name.alias("name"), F.decode("content", "UTF-8").alias("text"), text.tag_union(given, own).alias("tags"), (F.col("length") > 1024 * 1024).alias("warn"))
+    size = row.agg(F.max("length")).first()[0]
+    if size is not None and size > MAX_FILE_BYTES:
+        raise ValueError(f"{path} has {size} bytes, more than {MAX_FILE_BYTES}")
+    return row.select(name.alias("name"), F.decode("content", "UTF-8").alias("text"), text.tag_union(given, own).alias("tags"), (F.col("length") > 1024 * 1024).alias("warn"))

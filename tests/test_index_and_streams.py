@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.plans.index import Index, Settings
+from tessera.plans.index import Index, Settings, watched
 from tessera.sources import embedding, files
 from tessera.streaming import watch
 
@@ -18,7 +18,8 @@ def test_index_run(spark, tmp_path):
     index = Index(spark, Settings(str(root)))
     first = index.update("P", str(tree))
     assert (first["added"], first["modified"], first["removed"], first["failed"]) == (2, 0, 0, 0) and first["chunks"] > 1
-    assert index.update("P", str(tree)) == {"added": 0, "modified": 0, "removed": 0, "failed": 0, "chunks": first["chunks"]}
+    again = index.update("P", str(tree))
+    assert {k: again[k] for k in ("added", "modified", "removed", "failed", "chunks", "files", "skipped", "made")} == {"added": 0, "modified": 0, "removed": 0, "failed": 0, "chunks": first["chunks"], "files": 2, "skipped": 2, "made": 0}
     (tree / "src/a.cs").write_text("class B { }")
     (tree / "src/b.c").unlink()
     second = index.update("P", str(tree))
@@ -42,6 +43,68 @@ def test_failures_stay_out_of_the_state(spark, tmp_path):
     assert Index(spark, Settings(str(tmp_path / "t"))).update("p", str(tree))["added"] == 1
 
 
+def test_partial_failures_are_repeated_whole(spark, tmp_path):
+    """Failing texts: what a later run leaves is what a clean run leaves, each content embedded once."""
+    log = str(tmp_path / "log")
+
+    class Flaky(embedding.HashEmbedder):
+        batch_texts = 1  # so that a file fails in part
+
+        def documents(self, texts):
+            import os
+
+            with open(log, "a") as f:
+                f.writelines(t.replace("\n", " ") + "\n" for t in texts)
+            if any("poison" in t for t in texts) and not os.path.exists(log + ".cured"):
+                raise embedding.HttpError(500)
+            return super().documents(texts)
+
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    body = lambda k, word: f"class A{k} {{ void F() {{ int {word}{k} = 1; }} void G() {{ int b{k} = 2; }} }}"
+    for k in range(4):
+        (tree / f"f{k}.cs").write_text(body(k, "a"))
+    (tree / "bad.cs").write_text(body(9, "poison"))
+    index = Index(spark, Settings(str(tmp_path / "t")), Flaky())
+    first = index.update("p", str(tree))
+    assert (first["added"], first["failed"]) == (5, 1) and "bad.cs" not in {r["file_path"] for r in index.chunks("p").collect()}
+    (tmp_path / "log.cured").write_text("")
+    second = index.update("p", str(tree))
+    assert (second["added"], second["failed"]) == (1, 0)
+    clean = Index(spark, Settings(str(tmp_path / "clean"), cached=False))
+    clean.update("p", str(tree))
+    rows = lambda i: sorted(map(str, i.chunks("p").drop("last_modified").collect()))
+    assert rows(index) == rows(clean) and sorted(map(tuple, index.state("p").collect())) == sorted(map(tuple, clean.state("p").collect()))
+    texts = (tmp_path / "log").read_text().splitlines()
+    assert all(texts.count(t) == 1 or "poison" in t for t in texts)
+    used = len(texts)
+    assert index.update("p", str(tree), force=True)["made"] == second["chunks"] and len((tmp_path / "log").read_text().splitlines()) == used
+    assert rows(index) == rows(clean)
+
+
+def test_metadata_roots_and_rescans(spark, tmp_path):
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    (tree / "a.cs").write_text("class A { }")
+    index = Index(spark, Settings(str(tmp_path / "t"), roots=(str(tree),)))
+    assert index.metadata("p", "dir") is None
+    for value in ("x", "y"):
+        index.set_metadata("p", "dir", value)
+    index.set_metadata("p", "other", "z")
+    assert (index.metadata("p", "dir"), index.metadata("p", "other")) == ("y", "z")
+    with pytest.raises(PermissionError):
+        index.update("p", str(tmp_path))
+    waits = []
+    rounds = index.rescan({"p": str(tree), "q": str(tree)}, minutes=30, rounds=2, wait=waits.append)
+    assert [[r["added"] for r in done.values()] for done in rounds] == [[1, 1], [0, 0]] and waits == [1800]
+    assert index.query([" ", "x"]).count() == 1
+    index.clear("p")
+    assert index.metadata("p", "dir") is None and index.chunks("q").count() == 1
+    assert files.scan(spark, str(tmp_path / "nowhere")).count() == 0
+    paths = spark.createDataFrame([("a.cs",), ("b.TXT",), ("bin/c.cs",), ("D.RAZOR",), ("cs",)], "path string")
+    assert sorted(r["path"] for r in paths.where(watched(F.col("path"))).collect()) == ["D.RAZOR", "a.cs"]
+
+
 def test_batches_and_retries():
     assert [len(b) for b in embedding.packed(["x"] * 120)] == [50, 50, 20]
     assert [len(b) for b in embedding.packed(["x" * 200_000, "y" * 100_000, "z" * 300_000, "w"])] == [1, 1, 1, 1]
