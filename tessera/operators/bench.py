@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import search
@@ -27,29 +27,16 @@ def random_vectors(spark: SparkSession, rows: int, width: int, queries: int, see
     return spark.range(rows).mapInArrow(make, "id long, embedding array<float>"), q / np.linalg.norm(q, axis=1, keepdims=True)
 
 
-def score_by_sql(corpus: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
-    asked = corpus.sparkSession.createDataFrame([(f"q{i}", [float(x) for x in q]) for i, q in enumerate(queries)], "query string, query_embedding array<double>")
-    return search.scored(corpus, asked).groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "id")), asc=False), 1, k).alias("best"))
+def queries_of(spark: SparkSession, queries: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(f"q{i}", [float(x) for x in q]) for i, q in enumerate(queries)], "query string, query_embedding array<double>")
 
 
-def score_by_matrix(corpus: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
-    """(query, best): each batch of vectors is one matrix; a batch hands on its k best of each query."""
-    q = np.asarray(queries, np.float32)
+def every_score(corpus: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
+    """The way of ranked searches: a score for each chunk and query, then the best of each query."""
+    place = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
+    return search.scored(corpus, queries_of(corpus.sparkSession, queries)).select("query", "id", "score").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            size = np.linalg.norm(v, axis=1)
-            s = (v @ q.T) / np.where(size == 0, 1, size)[:, None]
-            take = min(k, n)
-            best = np.argpartition(-s, take - 1, axis=0)[:take]
-            ids = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.arange(len(q)), take)), pa.array(np.take_along_axis(s, best, 0).T.ravel().astype(float)), pa.array(ids[best].T.ravel())], names=["query", "score", "id"]
-            )
 
-    hits = corpus.select("id", "embedding").mapInArrow(run, "query long, score double, id long")
-    return hits.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "id")), asc=False), 1, k).alias("best"))
+def best_scores(corpus: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
+    """The way of searches by score alone: each batch hands on its best."""
+    return search.best_by_score(corpus, queries_of(corpus.sparkSession, queries), k)

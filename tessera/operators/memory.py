@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import scoring, text
+from tessera.functions import text
 from tessera.operators import changes, markdown
+from tessera.operators import search as nearest
 
 
 def resolve(memories: DataFrame, id_or_alias: str) -> DataFrame:
@@ -124,9 +125,9 @@ def list_memories(memories: DataFrame, tags: list[str] | None = None) -> DataFra
 
 def search(memories: DataFrame, vectors: DataFrame, query_embedding: list[float], as_of: Column, k: int = 3, snippet_lines: int = 10, tags: list[str] | None = None, older_than_days: int | None = None, has_children: bool | None = None, min_score: float = 0.0) -> DataFrame:
     """The k nearest memories; filters work on those k, so fewer may be left."""
-    q = F.array(*[F.lit(float(x)) for x in query_embedding])
-    near = vectors.where(F.size("embedding") == len(query_embedding)).select("memory_id", scoring.cosine(F.col("embedding"), q).alias("score"))
-    best = near.orderBy(F.desc("score"), F.asc("memory_id")).limit(k).where(F.col("score") >= min_score)
+    query = memories.sparkSession.createDataFrame([("", [float(x) for x in query_embedding])], "query string, query_embedding array<double>")
+    near = nearest.best_by_score(vectors.select(F.col("memory_id").alias("id"), "embedding"), query, k)
+    best = near.where(F.col("score") >= min_score).select(F.col("id").alias("memory_id"), "score")
     found = F.broadcast(best).join(memories, F.col("memory_id") == F.col("id"))  # k rows
     if tags:
         found = found.where(text.has_tag(F.col("tags"), tags))

@@ -127,8 +127,7 @@ ranked AS (SELECT *, score * 0.7::DOUBLE + score * importance * 0.2::DOUBLE + sc
 
 @query(f"WITH {CORPUS_SQL}, q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0) SELECT id, round({_cos('v', 'qv')}, 9) AS score FROM corpus, q ORDER BY {_cos('v', 'qv')} DESC, id LIMIT 10")
 def cosine_topk(spark, sf):
-    hits = search.scored(corpus(spark, sf), one_query(spark, sf))
-    return search.top(hits, 10, "score").select("id", F.round("score", 9).alias("score"))
+    return search.best_by_score(corpus(spark, sf), one_query(spark, sf), 10).select("id", F.round("score", 9).alias("score"))
 
 
 @query(f"SELECT a.vec_id, 'q' || b.vec_id AS query, round({_cos('a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')}, 9) AS score FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id IN (0, 1, 2, 3, 4)) b WHERE {_cos('a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')} >= 0.25")
@@ -140,7 +139,7 @@ def cosine_threshold(spark, sf):
 
 @query(f"{ranked_sql()} SELECT id, file_path, chunk_type, round(score, 9) AS score, importance, recency, round(combined, 9) AS combined FROM ranked")
 def rerank_scores(spark, sf):
-    hits = search.ranked(search.scored(corpus(spark, sf), one_query(spark, sf)), as_of())
+    hits = search.ranked(corpus(spark, sf), one_query(spark, sf), as_of())
     return hits.select("id", "file_path", "chunk_type", F.round("score", 9).alias("score"), "importance", "recency", F.round("combined", 9).alias("combined"))
 
 

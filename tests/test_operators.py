@@ -24,8 +24,21 @@ def queries(spark, *vectors):
 
 def test_search_orders_ties_by_id(spark):
     got = search.search(corpus(spark), queries(spark, [1.0, 0.0]), F.lit(NOW), 3)
-    assert [r["id"] for r in got.collect()] == [1, 5, 2]  # 5 is no class: less important
-    assert search.scored(corpus(spark), queries(spark, [1.0, 0.0, 0.0])).count() == 0
+    assert [r["id"] for r in got.collect()] == [1, 2, 5]  # 2 is nearly as near as 5, and a method counts more
+    twins = corpus(spark).withColumn("id", F.col("id") + 10).unionByName(corpus(spark))
+    assert [r["id"] for r in search.search(twins, queries(spark, [1.0, 0.0]), F.lit(NOW), 4).collect()] == [1, 11, 2, 12]
+    assert [r["id"] for r in search.best_by_score(twins, queries(spark, [0.0, 1.0]), 3).orderBy("rank").collect()] == [3, 13, 2]
+
+
+def test_search_refuses_what_it_cannot_answer(spark):
+    with pytest.raises(Exception, match="2 components and a query of 3"):
+        search.scored(corpus(spark), queries(spark, [1.0, 0.0, 0.0])).collect()
+    with pytest.raises(ValueError, match="2 dimensions"):
+        search.scored(corpus(spark), queries(spark, [1.0], [1.0, 2.0]))
+    with pytest.raises(ValueError, match="at most 1000"):
+        search.scored(corpus(spark), queries(spark, *[[1.0, 0.0]] * 1001))
+    none = queries(spark, [1.0, 0.0]).where("false")
+    assert search.search(corpus(spark), none, F.lit(NOW)).count() == 0 and search.best_by_score(corpus(spark), none, 3).count() == 0
 
 
 def test_filters_after_and_before(spark):

@@ -4,6 +4,7 @@ import glob
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.plans import queries as engine
@@ -17,7 +18,7 @@ def rows(frame):
     def text(v):
         if isinstance(v, (list, np.ndarray, tuple)):
             return str([text(x) for x in v])
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         return repr(round(float(v), 8)) if isinstance(v, (float, np.floating)) else str(v)
 
