@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fixed, scoring, text
 from tessera.operators import cache, changes, expand, markdown, memory, search, statistics, tree, windows
-from tessera.sources import files
+from tessera.plans import structures
+from tessera.sources import embedding, files
 from tessera.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -469,7 +470,14 @@ def line_window_chunks(spark, sf):
     return windows.window_table(table(spark, sf, "documents"), "doc_id", "text", fixed.ULTRA_CHUNK, 0.5)
 
 
-@query()
+_C_BREAK_SQL = "regexp_matches(trim(line, ' ' || chr(9) || chr(13)), '" + fixed.BREAKS["c_ultra"].replace("'", "''") + "')"
+
+
+@query(f"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents WHERE text <> ''),
+s AS MATERIALIZED (SELECT doc_id, p, length(line) + 1 AS len, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY p) - length(line) - 1 AS pre, {_C_BREAK_SQL} AS brk, count(*) OVER (PARTITION BY doc_id) AS n FROM l),
+nx AS MATERIALIZED (SELECT a.doc_id, a.p AS s, a.n, coalesce(min(b.p) + 1, a.n) AS e FROM s a LEFT JOIN s b ON a.doc_id = b.doc_id AND b.p >= a.p AND (b.pre + b.len - a.pre >= {fixed.ULTRA_CHUNK - 100} OR (b.pre + b.len - a.pre > {0.7 * (fixed.ULTRA_CHUNK - 100)} AND b.brk)) GROUP BY a.doc_id, a.p, a.n),
+walk AS (SELECT doc_id, s, e, n FROM nx WHERE s = 0 UNION ALL SELECT nx.doc_id, nx.s, nx.e, nx.n FROM walk JOIN nx ON nx.doc_id = walk.doc_id AND nx.s = greatest(walk.e - least(floor((walk.e - walk.s) * 0.15)::BIGINT, 10), walk.s + 1) WHERE walk.e < walk.n)
+SELECT walk.doc_id, (s + 1)::INT AS start_line, e::INT AS end_line, array_to_string(string_split(text, chr(10))[s + 1:e], chr(10)) AS content FROM walk JOIN documents USING (doc_id)""")
 def c_window_chunks(spark, sf):
     return windows.window_table(table(spark, sf, "documents"), "doc_id", "text", fixed.ULTRA_CHUNK - 100, 0.7, breaks="c_ultra", kind="c")
 
@@ -679,5 +687,70 @@ def source_chunks(spark, sf):
     return chunk_files(d).select("id", "file_path", "start_line", "end_line", "chunk_type", "content")
 
 
+@query(structures.sql())
+def source_structure(spark, sf):
+    """C#, C and Razor files with declarations, one of them generated, through the whole chunker."""
+    from tessera.operators.chunking import chunk_files
+
+    f = spark.createDataFrame(list(structures.FILES.items()), "path string, content string").withColumn("modified", as_of())
+    return chunk_files(f).select("file_path", "start_line", "end_line", "chunk_type", "content")
+
+
+# The index itself ----------------------------------------------------------------------------------
+
+
+@query(f"SELECT DISTINCT file_path FROM (SELECT {PATH_SQL} AS file_path FROM documents) WHERE regexp_matches(lower(file_path), '[.](cs|razor)$') AND NOT ({' OR '.join(f"contains(file_path, '/{x}') OR starts_with(file_path, '{x}')" if x.endswith('/') else f"ends_with(lower(file_path), '{x[1:]}')" for x in fixed.IGNORED)})")
+def watch_filter(spark, sf):
+    """Changes that a watcher of two extensions hands on."""
+    p = with_paths(table(spark, sf, "documents")).select("file_path").distinct()
+    return p.where(watch.watched(F.col("file_path"), ["cs", "RAZOR"]))
+
+
+@query("SELECT p_brand AS key, arg_max(p_type, p_partkey) AS value FROM part GROUP BY p_brand UNION ALL SELECT n_name, 'nation' FROM nation")
+def metadata_upsert(spark, sf):
+    """Key and value rows, of which later ones replace those of their key."""
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("key"), F.col("p_type").alias("value"), F.col("p_partkey").alias("seq"))
+    held = table(spark, sf, "nation").select(F.col("n_name").alias("key"), F.lit("nation").alias("value"), F.lit(0).cast("long").alias("seq"))
+    return changes.upsert(held.unionByName(p.where("seq % 2 = 0")), p, "key", "seq").select("key", "value")
+
+
+@query(f"""SELECT user_id::VARCHAR AS content_hash, 'document' AS embedding_type, CASE WHEN user_id % 3 = 0 THEN TIMESTAMP '{AS_OF}' ELSE max(ts) END AS last_accessed, CASE WHEN user_id % 3 = 0 THEN 1 ELSE 1 + count(*) END AS access_count FROM events GROUP BY user_id""")
+def embedding_cache_store(spark, sf):
+    """A vector stored again counts as used once."""
+    held = _used(spark, sf).select("content_hash", "embedding", F.lit("document").alias("embedding_type"), F.lit("m").alias("model"), F.lit(None).cast("string").alias("project"), F.col("last_accessed").alias("created_at"), "last_accessed", "access_count")
+    new = cache.entries(held.where("content_hash % 3 = 0").select("content_hash", "embedding"), "m", as_of())
+    return changes.upsert(held, new, "content_hash", "last_accessed").select("content_hash", "embedding_type", "last_accessed", "access_count")
+
+
+@query("SELECT DISTINCT unnest(['T' || (doc_id % 7), 'I' || lang]) AS name FROM documents WHERE doc_id % 2 = 0")
+def type_names(spark, sf):
+    d = F.col("doc_id")
+    content = F.when(d % 2 == 0, F.concat(F.lit("public class T"), (d % 7).cast("string"), F.lit(" { }\npublic interface I"), "lang", F.lit(" { }"))).otherwise(F.lit("subclass X, classes of record"))
+    return statistics.type_names(table(spark, sf, "documents").select(content.alias("content")))
+
+
+@query("SELECT doc_id AS id, 'a' || doc_id AS alias, 'by ' || CASE WHEN doc_id = 7 THEN 'id' ELSE 'alias' END AS how FROM documents WHERE doc_id IN (7, 12)")
+def memory_resolve(spark, sf):
+    """A memory by its number, and one by its alias."""
+    m = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("alias"))
+    return memory.resolve(m, "7").withColumn("how", F.lit("by id")).unionByName(memory.resolve(m, "a12").withColumn("how", F.lit("by alias")))
+
+
+@query("SELECT vec_id, round(list_sum(embedding)::DOUBLE, 5) AS total, len(embedding)::INT AS width FROM embeddings")
+def vector_bytes(spark, sf):
+    """Vectors packed as bytes and read again."""
+    packed = F.udf(lambda v: bytearray(embedding.to_bytes(v)), "binary")
+    v = table(spark, sf, "embeddings").select("vec_id", embedding.from_bytes(packed("embedding")).alias("v"))
+    return v.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.size("v").alias("width"))
+
+
+@query("SELECT vec_id FROM embeddings")
+def half_precision(spark, sf):
+    """Vectors that 16 bits change by no more than one part in 2048, and change at all."""
+    e = table(spark, sf, "embeddings").withColumn("half", embedding.rounded_to_half(F.col("embedding")))
+    near = F.forall(F.zip_with("embedding", "half", lambda a, b: F.abs(a - b) <= F.greatest(F.abs(a) / 2048, F.lit(1e-7))), lambda x: x)
+    return e.where(near & F.exists(F.zip_with("embedding", "half", lambda a, b: a != b), lambda x: x)).select("vec_id")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return batch_search(spark, sf)

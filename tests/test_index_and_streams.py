@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.plans.index import Index, Settings, watched
+from tessera.plans.index import Index, Settings
 from tessera.sources import embedding, files
 from tessera.streaming import watch
 
@@ -102,7 +102,7 @@ def test_metadata_roots_and_rescans(spark, tmp_path):
     assert index.metadata("p", "dir") is None and index.chunks("q").count() == 1
     assert files.scan(spark, str(tmp_path / "nowhere")).count() == 0
     paths = spark.createDataFrame([("a.cs",), ("b.TXT",), ("bin/c.cs",), ("D.RAZOR",), ("cs",)], "path string")
-    assert sorted(r["path"] for r in paths.where(watched(F.col("path"))).collect()) == ["D.RAZOR", "a.cs"]
+    assert sorted(r["path"] for r in paths.where(watch.watched(F.col("path"))).collect()) == ["D.RAZOR", "a.cs"]
 
 
 def test_batches_and_retries():

@@ -20,7 +20,8 @@ def rows(frame):
             return str([text(x) for x in v])
         if pd.isna(v):
             return "null"
-        return repr(round(float(v), 8)) if isinstance(v, (float, np.floating)) else str(v)
+        number = isinstance(v, (float, int, np.floating, np.integer)) and not isinstance(v, bool) and abs(v) < 1 << 53
+        return repr(round(float(v), 8)) if number else str(v)
 
     names = sorted(frame.columns)
     return names, sorted(tuple(text(v) for v in r) for r in frame[names].itertuples(index=False))
