@@ -83,12 +83,49 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
+def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 says of texts without its model."""
+    return op2_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_chat_format, op4_token_counts, op5_quality_classifier, op6_training_order, op7_merge_dropout, op8_vector_search, op9_near_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_chat_format, op4_token_counts, op5_quality_classifier, op6_training_order, op7_merge_dropout, op8_vector_search, op9_near_dedup, op10_pii, text_statistics)}
+
 
+_WORDS = r"list_filter(regexp_split_to_array({}, '[ \t\n\x0b\f\r]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-#: What DuckDB says of the same tables; operators that learn, encode or search have none.
+#: What DuckDB says of the same tables; operators that learn or encode have none. That of op8 is
+#: exhaustive search, to which the operator comes where its windows hold all vectors (500 of them).
 ORACLES: dict[str, str] = {
+    "text_statistics": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+t AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS three, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2),
+twice AS (SELECT doc_id, i FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, three) > 1),
+marked AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM d),
+again AS (SELECT doc_id FROM l WHERE regexp_matches(line, '[^ \t\n\x0b\f\r]') QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY place) > 1),
+dup AS (SELECT doc_id, count(*) AS n FROM again GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(marked.n, 0)::BIGINT AS n_repeat_words,
+  len(w) < 50 OR 100 * coalesce(marked.n, 0) > 50 * len(w) AS base_failed
+FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN marked USING (doc_id)
+""",
+    "op8_vector_search": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2]), lambda a, b: a + b) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p QUALIFY rank <= 20
+""",
+    "op9_near_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM d),
+u AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS MATERIALIZED (SELECT a, b FROM shared JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.other)
+SELECT doc_id, any_value(len(s.s))::BIGINT AS n_shingles, min(other) AS component_id, min(other) = doc_id AS kept FROM reach JOIN s USING (doc_id) GROUP BY doc_id
+""",
     "op3_chat_format": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
