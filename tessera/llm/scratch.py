@@ -1,7 +1,8 @@
 """Tables that cut lineage, in the folder that all machines of the cluster share.
 
 The folder is the one the session names in ``spark.checkpoint.dir``; only where that is
-unset (tests on one machine) a temporary folder of the driver is used instead. Tables are
+unset and all runs on one machine (tests) a temporary folder is used instead. On a cluster
+without that setting nothing is written: it is an error. Tables are
 plain Parquet, so a lost executor loses nothing: any other can read them again.
 """
 
@@ -22,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get(_CONF, None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{_CONF} has to name a folder that all machines share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
         atexit.register(_remove_local, _fallback[0].removeprefix("file://"))
