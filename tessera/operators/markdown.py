@@ -32,4 +32,9 @@ def parents(sections_table: DataFrame, key: str) -> DataFrame:
     levels = [F.last(F.when(F.col("level") == k, F.col("section")), ignorenulls=True).over(w) for k in range(1, LEVELS)]
     above = F.slice("_last", F.lit(1), F.least(F.col("level"), F.lit(LEVELS)) - 1)
     nearest = F.try_element_at(F.filter(above, lambda x: x.isNotNull()), F.lit(-1))
-    return sections_table.withColumn("_last", F.array(*levels)).withColumn("parent", nearest).drop("_last")
+    out = sections_table.withColumn("_last", F.array(*levels)).withColumn("parent", nearest).drop("_last")
+    # Sections below level 6 are rare; only they look for parents among the deep ones.
+    deep = sections_table.where(F.col("level") > LEVELS).select(key, "section", "level")
+    above = sections_table.where(F.col("level") >= LEVELS).select(key, F.col("section").alias("_section"), F.col("level").alias("_level"))
+    found = deep.join(above, key).where("_section < section AND _level < level").groupBy(key, "section").agg(F.max(F.struct("_level", "_section")).alias("_above"))
+    return out.join(found, [key, "section"], "left").withColumn("parent", F.coalesce("_above._section", "parent")).select(*sections_table.columns, "parent")

@@ -288,3 +288,15 @@ def test_import_and_append(spark):
     kid = next(r for r in memory.append(m, "two", child, F.lit(NOW)).collect() if r["id"] == 3)
     assert kid["parent_id"] == 2 and kid["tags"] == ["b", "z"]
     assert memory.append(m, "none", child, F.lit(NOW)).count() == 2
+
+
+def test_parents_of_any_level(spark):
+    levels = [1, 6, 7, 9, 8, 7, 2, 8, 3, 12, 13, 12]
+    text = "\n".join(f"{'#' * level} t{k}\nx" for k, level in enumerate(levels))
+    df = spark.createDataFrame([("d", text)], "path string, text string")
+    got = {r["section"]: r["parent"] for r in markdown.parents(markdown.sections(df, "path", "text"), "path").collect()}
+    want = {}
+    for k, level in enumerate(levels):
+        before = [(x, j) for j, x in enumerate(levels[:k]) if x < level]
+        want[k + 1] = max(before)[1] + 1 if before else None
+    assert got == want
