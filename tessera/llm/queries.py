@@ -88,8 +88,18 @@ def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 says of texts without its model."""
+    return op10_pii(spark, sf_dir).select("doc_id", "base_sha256")
+
+
+def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 says of texts without its encoder."""
+    return op4_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_chat_format, op4_token_counts, op5_quality_classifier, op6_training_order, op7_merge_dropout, op8_vector_search, op9_near_dedup, op10_pii, text_statistics)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_chat_format, op4_token_counts, op5_quality_classifier, op6_training_order, op7_merge_dropout, op8_vector_search, op9_near_dedup, op10_pii, text_statistics, pii_base, text_bytes)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[ \t\n\x0b\f\r]+'), lambda x: x <> '')"
@@ -110,6 +120,27 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(marked.n, 0)::BIGINT AS n_repeat_words,
   len(w) < 50 OR 100 * coalesce(marked.n, 0) > 50 * len(w) AS base_failed
 FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN marked USING (doc_id)
+""",
+    "text_bytes": "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents",
+    # Matches are put between two control characters, so that the lengths of what lies between give their places.
+    "pii_base": r"""
+WITH kind(k, name) AS (VALUES (0, 'email'), (1, 'ip'), (2, 'card'), (3, 'phone')),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT r, k, string_split(CASE k
+    WHEN 0 THEN regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', chr(1) || '\0' || chr(2), 'g')
+    WHEN 1 THEN regexp_replace(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)', chr(1) || '\0' || chr(2), 'g')
+    WHEN 2 THEN regexp_replace(text, '[0-9]([ -]?[0-9])+', chr(1) || '\0' || chr(2), 'g')
+    ELSE regexp_replace(text, '\+[0-9][ ().0-9-]+[0-9]', chr(1) || '\0' || chr(2), 'g') END, chr(1)) AS p FROM d, kind),
+part AS (SELECT r, k, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM cut WHERE len(p) > 1),
+placed AS (SELECT r, k, i, split_part(part, chr(2), 1) AS m, sum(length(part)) OVER (PARTITION BY r, k ORDER BY i) - length(part) - (i - 2) AS start FROM part),
+digits AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS g FROM placed WHERE i > 1),
+fine AS (SELECT r, start, k, name || ':' || start::BIGINT || ':' || (start + length(m))::BIGINT AS span FROM digits JOIN kind USING (k) WHERE CASE k
+    WHEN 0 THEN true
+    WHEN 1 THEN list_bool_and(list_transform(string_split(m, '.'), lambda x: coalesce(try_cast(x AS BIGINT) <= 255, false)))
+    WHEN 2 THEN length(g) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(g)), lambda i: CASE WHEN i % 2 = 0 THEN substr(g, (length(g) - i)::BIGINT, 1)::INT ELSE (2 * substr(g, (length(g) - i)::BIGINT, 1)::INT - 1) % 9 + 1 END)) % 10 = 0
+    ELSE length(g) BETWEEN 9 AND 15 END),
+spans AS (SELECT r, string_agg(span, ',' ORDER BY start, k) AS s FROM fine GROUP BY r)
+SELECT doc_id, sha256(coalesce(s, '')) AS base_sha256 FROM d LEFT JOIN spans USING (r)
 """,
     "op8_vector_search": """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
