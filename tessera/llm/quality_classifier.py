@@ -144,7 +144,7 @@ def pool(texts: pa.Array, words: np.ndarray, makes: np.ndarray) -> np.ndarray:
     return np.concatenate([sums / n, steps / n, extra], axis=1)
 
 
-def word_vectors(table: pa.Table, base: np.ndarray, window: int = 2, weight: float = 0.5) -> np.ndarray:
+def word_vectors(table: pa.Table | labelled.Sample, base: np.ndarray, window: int = 2, weight: float = 0.5) -> np.ndarray:
     """Index vectors plus the normalised sums of neighbours' index vectors in the table's texts."""
     context = np.zeros_like(base, dtype=np.float64)
     for part in ta.blocks(table.to_batches()):
@@ -162,7 +162,7 @@ def word_vectors(table: pa.Table, base: np.ndarray, window: int = 2, weight: flo
     return (base + weight * context).astype(np.float32)
 
 
-def fit(table: pa.Table, sizes: dict[int, int], steps: int = 400, seed: int = SEED) -> Model | None:
+def fit(table: pa.Table | labelled.Sample, sizes: dict[int, int], steps: int = 400, seed: int = SEED) -> Model | None:
     """The model of a sample (doc_id, text, y); None unless both classes are in it."""
     y = np.asarray(table.column("y").to_pylist(), float)
     if len(y) == 0 or y.min() == y.max():
@@ -228,14 +228,13 @@ def _share(sizes: dict[int, int]) -> float:
 
 def quality_scores(documents: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, per_class: int = 1500, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each document."""
-    table, sizes = labelled.sample(learn_from if learn_from is not None else documents, labels, "quality", per_class)
-    return score(documents, fit(table, sizes), _share(sizes), threshold)
+    model, sizes = labelled.learn(fit, learn_from if learn_from is not None else documents, labels, "quality", per_class)
+    return score(documents, model, _share(sizes), threshold)
 
 
 def keep_rows(documents: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, per_class: int = 1500, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of documents, all columns, with a score of threshold or more; no shuffle."""
-    table, sizes = labelled.sample(learn_from if learn_from is not None else documents, labels, "quality", per_class)
-    model = fit(table, sizes)
+    model, sizes = labelled.learn(fit, learn_from if learn_from is not None else documents, labels, "quality", per_class)
     if model is None:
         return documents if _share(sizes) >= threshold else documents.limit(0)
 

@@ -15,6 +15,7 @@ there is no model, and the base rules alone decide.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +45,8 @@ _SAME = np.uint64(12345)
 #: Words of one long text whose features are made at once.
 _STEP = 1 << 17
 _LINE = np.arange(256) != 10
+#: Features of the sample that are held at once in learning, 12 bytes each.
+FEATURES = 1 << 23
 
 
 @dataclass
@@ -160,12 +163,46 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(table: pa.Table, sizes: dict[int, int], steps: int = 60, seed: int = 7) -> Model | None:
+class _Features:
+    """Sparse features (row, column, value) in runs of whole documents; all but a single run wait in a temporary file of the driver's."""
+
+    def __init__(self):
+        self._now, self._size, self._runs, self._file = [], 0, [], None
+
+    def add(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> None:
+        if self._now and self._size + len(rows) > FEATURES:
+            self._put()
+        self._now.append((rows.astype(np.int32), columns.astype(np.int32), values.astype(np.float32)))
+        self._size += len(rows)
+
+    def _put(self) -> None:
+        self._file = self._file or tempfile.TemporaryFile()
+        for arrays in zip(*self._now, strict=True):
+            for a in arrays:
+                a.tofile(self._file)
+        self._runs.append(self._size)
+        self._now, self._size = [], 0
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if self._file is None:
+            if not self._now:
+                return
+            self._now = [tuple(np.concatenate(arrays) for arrays in zip(*self._now, strict=True))]
+            yield self._now[0]
+            return
+        if self._now:
+            self._put()
+        self._file.seek(0)
+        for n in self._runs:
+            yield tuple(np.fromfile(self._file, kind, n) for kind in (np.int32, np.int32, np.float32))
+
+
+def fit(table: pa.Table | labelled.Sample, sizes: dict[int, int], steps: int = 60, seed: int = 7) -> Model | None:
     """The model for a sample (doc_id, text, y); None unless both classes are in it."""
     y = np.asarray(table.column("y").to_pylist(), float)
     if len(y) == 0 or y.min() == y.max():
         return None
-    rows, cols, values, dense = [], [], [], []
+    features, dense = _Features(), []
     at = 0
     for part in ta.blocks(table.to_batches()):
         block = analyse(ta.text_column(part))
@@ -173,28 +210,34 @@ def fit(table: pa.Table, sizes: dict[int, int], steps: int = 60, seed: int = 7)
         count = np.zeros((len(FAMILIES), part.num_rows))
         for f, _, offs in pieces:
             count[f] += np.diff(offs)
+        rows, cols, values = [], [], []
         for f, buckets, offs in pieces:
             key, n = np.unique(ta.row_of(offs).astype(np.int64) << TABLE_BITS | buckets, return_counts=True)
             r = key >> TABLE_BITS
             rows.append((r + at).astype(np.int32))
             cols.append(((key & ((1 << TABLE_BITS) - 1)) + (f << TABLE_BITS)).astype(np.int32))
             values.append((n / count[f][r]).astype(np.float32))
+        if rows:  # a text without words or characters has none
+            features.add(np.concatenate(rows), np.concatenate(cols), np.concatenate(values))
         dense.append(block.dense)
         at += part.num_rows
-    r, c, v, d = np.concatenate(rows), np.concatenate(cols), np.concatenate(values), np.concatenate(dense)
+    d = np.concatenate(dense)
     fitted = np.random.default_rng(seed).permutation(len(y)) % 4 != 0
     if len(set(y[fitted])) < 2 or len(set(y[~fitted])) < 2:
         fitted[:] = True
-    use = fitted[r]
-    rf, cf, vf = r[use], c[use], v[use]
     weight = np.where(y == 1, 0.5 / max(y[fitted].sum(), 1), 0.5 / max((1 - y[fitted]).sum(), 1)) * fitted
     n_cols = len(FAMILIES) << TABLE_BITS
     w, wd, b = np.zeros(n_cols), np.zeros(d.shape[1]), 0.0
     state = [np.zeros(n_cols), np.zeros(n_cols), np.zeros(d.shape[1] + 1), np.zeros(d.shape[1] + 1)]
     for step in range(1, steps + 1):
-        logit = np.bincount(rf, vf * w[cf], len(y)) + d @ wd + b
-        err = (sigmoid(logit) - y) * weight
-        g = np.bincount(cf, vf * err[rf], n_cols) + 1e-6 * w
+        sums, g = np.zeros(len(y)), np.zeros(n_cols)
+        for r, c, v in features:
+            own = np.bincount(r, v * w[c], len(y))
+            err = (sigmoid(own + d @ wd + b) - y) * weight
+            g += np.bincount(c, v * err[r], n_cols)
+            sums += own
+        err = (sigmoid(sums + d @ wd + b) - y) * weight
+        g += 1e-6 * w
         gd = np.append(d.T @ err, err.sum())
         for k, (grad, rate) in enumerate(((g, 0.5), (gd, 0.3))):
             m, s = state[2 * k], state[2 * k + 1]
@@ -206,7 +249,7 @@ def fit(table: pa.Table, sizes: dict[int, int], steps: int = 60, seed: int = 7)
                 b -= move[-1]
             else:
                 w -= move
-    logit = np.bincount(r, v * w[c], len(y)) + d @ wd + b
+    logit = sum((np.bincount(r, v * w[c], len(y)) for r, c, v in features), np.zeros(len(y))) + d @ wd + b
     test = ~fitted if not fitted.all() else fitted
     slope, shift = platt(logit[test], y[test], sizes)
     return Model(w.reshape(len(FAMILIES), -1).astype(np.float32), wd, b, slope, shift)
@@ -260,14 +303,13 @@ def score(documents: DataFrame, model: Model | None, threshold: float = THRESHOL
 
 def quality_rules(documents: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, per_class: int = 1000, threshold: float = THRESHOLD) -> DataFrame:
     """Statistics and verdicts of `documents`; labelled rows of `learn_from` (itself, if None) train the model."""
-    table, sizes = labelled.sample(learn_from if learn_from is not None else documents, labels, "quality", per_class)
-    return score(documents, fit(table, sizes), threshold)
+    model, _ = labelled.learn(fit, learn_from if learn_from is not None else documents, labels, "quality", per_class)
+    return score(documents, model, threshold)
 
 
 def keep_rows(documents: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, per_class: int = 1000, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of documents, all columns, that are kept; no shuffle."""
-    table, sizes = labelled.sample(learn_from if learn_from is not None else documents, labels, "quality", per_class)
-    model = fit(table, sizes)
+    model, _ = labelled.learn(fit, learn_from if learn_from is not None else documents, labels, "quality", per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.release()

@@ -157,3 +157,25 @@ def test_labels_of_held_out_rows_are_not_learnt(spark, sf):
     turned = labels.withColumn("quality", F.when(hold_out_column(), 1 - F.col("quality")).otherwise(F.col("quality")).cast("int"))
     a, b = (sorted(map(tuple, quality_classifier.quality_scores(documents, x).collect())) for x in (labels, turned))
     assert a == b
+
+
+def test_samples_come_in_portions(spark, monkeypatch):
+    from tessera.llm import labelled
+
+    rows = [(k, t + " bad" * (k % 2 * 9), 1 - k % 2) for k, t in enumerate(some_texts(300, 8))]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, quality int")
+    wanted = model_of([(t, y) for k, t, y in rows if not held_out(k)])
+    monkeypatch.setattr(labelled, "PORTION", 20_000, raising=False)
+    monkeypatch.setattr(quality_rules, "FEATURES", 5_000, raising=False)
+    sizes, collect = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: sizes.append((out := collect(df)).nbytes) or out)
+    models = []
+    for module in (quality_rules, quality_classifier):
+        fit = module.fit
+        monkeypatch.setattr(module, "fit", lambda table, sizes, fit=fit: models.append(fit(table, sizes, steps=20)) or models[-1])
+    quality_rules.quality_rules(docs, labels)
+    quality_classifier.quality_scores(docs, labels)
+    assert sum(sizes) > 10 * 20_000 and max(sizes) < 2 * 20_000
+    assert np.allclose(models[0].tables, wanted[0].tables, atol=1e-6) and np.allclose(models[0].dense, wanted[0].dense)
+    assert np.allclose(models[1].w1, wanted[1].w1, atol=1e-4) and np.allclose(models[1].words, wanted[1].words, atol=1e-5)
