@@ -13,6 +13,8 @@ record: Spark's own text writer puts the bytes down as they are, on any file sys
 writes. The last sequence is padded with the separator's id.
 
 Shards are written in `waves`, so that shuffle files of no more than a wave are there at once.
+Python workers get at most `BATCH_ROWS` rows at once while shards are written, as an executor's JVM
+and both its workers hold whole batches, each in several copies.
 A lost executor costs its tasks, which are made again from the written ids; the order doesn't
 depend on tasks, tries or the number of executors.
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,9 @@ SHARD_ROWS = 8192
 KEY = 0x5EED
 ROUNDS = 6
 WAVES = 2
+BATCH_ROWS = 1000
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Permutation:
@@ -100,8 +105,30 @@ def _join_pieces(record: int, shard_rows: int):
     return run
 
 
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings are these meanwhile, and then what they were."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def write_shards(spark: SparkSession, documents: DataFrame, tokenizer: str, folder: str, length: int = packing.LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY, waves: int = WAVES) -> int:
     """Write all shards below folder; returns the number of sequences."""
+    own = int(spark.conf.get(_BATCH))  # 0 or less: no bound
+    with _settings(spark, {_CLEAN: "true", _BATCH: str(min(own, BATCH_ROWS) if own > 0 else BATCH_ROWS)}):
+        return _write(spark, documents, tokenizer, folder, length, shard_rows, key, waves)
+
+
+def _write(spark: SparkSession, documents: DataFrame, tokenizer: str, folder: str, length: int, shard_rows: int, key: int, waves: int) -> int:
     scratch = Scratch(spark, "training-order")
     encoded = scratch.keep(packing.encode(documents, tokenizer), "encoded")
     streamed, ids = packing.with_stream_offsets(encoded)
@@ -112,24 +139,16 @@ def write_shards(spark: SparkSession, documents: DataFrame, tokenizer: str, fold
     kind = bpe.id_type(tokenizer)
     record = np.dtype(kind).itemsize * length
     shards = -(-n // shard_rows)
-    clean = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        per_wave = -(-shards // waves)
-        for first in range(0, shards, per_wave):
-            last = min(first + per_wave, shards)
-            pieces = packing.cut(streamed, kind, length, slot=order.slots, slots=(first * shard_rows, last * shard_rows))
-            own = pieces.select("slot", "offset", "ids", F.expr(f"cast(slot div {shard_rows} as int)").alias("part"))
-            dealt = own.repartitionById(last - first, F.col("part") - first).sortWithinPartitions("slot", "offset")
-            records = dealt.select("slot", "offset", "ids").mapInArrow(_join_pieces(record, shard_rows), "shard long, record binary")
-            # Spark's text writer ends a record with the line separator, which is the record's own.
-            text = records.select("shard", F.expr(f"cast(substring(record, 1, {record}) as string)").alias("value"))
-            text.write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").mode("append").text(folder)
-    finally:
-        if clean is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, clean)
+    per_wave = -(-shards // waves)
+    for first in range(0, shards, per_wave):
+        last = min(first + per_wave, shards)
+        pieces = packing.cut(streamed, kind, length, slot=order.slots, slots=(first * shard_rows, last * shard_rows))
+        own = pieces.select("slot", "offset", "ids", F.expr(f"cast(slot div {shard_rows} as int)").alias("part"))
+        dealt = own.repartitionById(last - first, F.col("part") - first).sortWithinPartitions("slot", "offset")
+        records = dealt.select("slot", "offset", "ids").mapInArrow(_join_pieces(record, shard_rows), "shard long, record binary")
+        # Spark's text writer ends a record with the line separator, which is the record's own.
+        text = records.select("shard", F.expr(f"cast(substring(record, 1, {record}) as string)").alias("value"))
+        text.write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").mode("append").text(folder)
     scratch.drop()
     return n
 

@@ -143,6 +143,14 @@ def test_shards(spark, hard, no_documents, byte_bpe, tmp_path):
     assert training_order.read_shards(spark, folder + "2", 0).count() == 0
 
 
+def test_shards_are_written_in_small_batches(spark, hard, byte_bpe, tmp_path, monkeypatch):
+    name, seen, keep = "spark.sql.execution.arrow.maxRecordsPerBatch", [], training_order.Scratch.keep
+    before = spark.conf.get(name)
+    monkeypatch.setattr(training_order.Scratch, "keep", lambda self, df, table: seen.append(int(spark.conf.get(name))) or keep(self, df, table))
+    training_order.write_shards(spark, hard, byte_bpe, "file://" + str(tmp_path / "shards"))
+    assert max(seen) <= 1000 and spark.conf.get(name) == before
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(ALPHABET, max_size=40), min_size=1, max_size=5), st.integers(0, 5))
 def test_pieces(pieces, piece_bpe, texts, seed):
