@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import driver_memory
 from tessera.llm.scratch import Scratch
 
 HOLD_OUT = 5
@@ -74,6 +75,7 @@ def learn(fit: Callable[[Sample, dict[int, int]], T], documents: DataFrame, labe
         return fit(table, sizes), sizes
     finally:
         table.drop()
+        driver_memory.give_back(documents.sparkSession)
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int = 1000, max_chars: int = 200_000) -> tuple[Sample, dict[int, int]]:

@@ -45,8 +45,8 @@ _SAME = np.uint64(12345)
 #: Words of one long text whose features are made at once.
 _STEP = 1 << 17
 _LINE = np.arange(256) != 10
-#: Features of the sample that are held at once in learning, 12 bytes each.
-FEATURES = 1 << 23
+#: Features of the sample that are held at once in learning (or those of one block of texts), 12 bytes each, and 40 more while a step uses them.
+FEATURES = 1 << 18
 
 
 @dataclass
@@ -234,7 +234,7 @@ def fit(table: pa.Table | labelled.Sample, sizes: dict[int, int], steps: int = 6
         for r, c, v in features:
             own = np.bincount(r, v * w[c], len(y))
             err = (sigmoid(own + d @ wd + b) - y) * weight
-            g += np.bincount(c, v * err[r], n_cols)
+            np.add.at(g, c, v * err[r])  # one after another, so that the sums don't depend on how features are held
             sums += own
         err = (sigmoid(sums + d @ wd + b) - y) * weight
         g += 1e-6 * w

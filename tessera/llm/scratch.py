@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import driver_memory
+
 _CONF = "spark.checkpoint.dir"
 _fallback: list[str] = []
 
@@ -55,6 +57,7 @@ class Scratch:
         """Write df as a table and return the table's reader."""
         path = self.path(name)
         df.write.mode("overwrite").option("compression", codec).parquet(path)
+        driver_memory.give_back(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

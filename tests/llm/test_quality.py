@@ -179,3 +179,62 @@ def test_samples_come_in_portions(spark, monkeypatch):
     assert sum(sizes) > 10 * 20_000 and max(sizes) < 2 * 20_000
     assert np.allclose(models[0].tables, wanted[0].tables, atol=1e-6) and np.allclose(models[0].dense, wanted[0].dense)
     assert np.allclose(models[1].w1, wanted[1].w1, atol=1e-4) and np.allclose(models[1].words, wanted[1].words, atol=1e-5)
+
+
+def test_learning_holds_few_features():
+    """The features of the sample wait in a file, and the model doesn't depend on how many are held."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9000, 400)) + " bad" * (k % 2 * 9) for k in range(400)]
+    table = pa.table({"text": pa.array(texts), "y": pa.array([1 - k % 2 for k in range(400)])})
+    tracemalloc.start()
+    got = quality_rules.fit(table, {0: 1, 1: 1}, steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    features = 400 * 4 * 500
+    assert peak < 80 * features
+    held, quality_rules.FEATURES = quality_rules.FEATURES, 1 << 30
+    try:
+        want = quality_rules.fit(table, {0: 1, 1: 1}, steps=3)
+    finally:
+        quality_rules.FEATURES = held
+    assert np.array_equal(got.tables, want.tables) and np.array_equal(got.dense, want.dense) and got.bias == want.bias
+
+
+def test_learning_gives_memory_back(spark):
+    """What learning has freed between objects that stay goes back to the system."""
+    import re
+    from pathlib import Path
+
+    from tessera.llm import labelled
+
+    if not hasattr(__import__("ctypes").CDLL(None), "malloc_trim"):
+        pytest.skip("not glibc")
+    own = lambda: int(re.search(r"\nAnonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+    held = []
+
+    def fit(table, sizes):
+        some = [np.ones(12_000) for _ in range(1500)]  # 96 kB each, below the size that malloc maps by itself
+        held.append(own())
+        held.append(some[::50] + some[-1:])
+        return None
+
+    docs = spark.createDataFrame([(k, "text") for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    labelled.learn(fit, docs, labels, "quality", 10)
+    assert held[0] - own() > 100
+
+
+def test_written_tables_give_memory_back(spark, monkeypatch):
+    """The driver's JVM too is asked, after each table that an operator writes."""
+    from tessera.llm import driver_memory
+    from tessera.llm.scratch import Scratch
+
+    answers, give_back = [], driver_memory.give_back
+    monkeypatch.setattr(driver_memory, "give_back", lambda session: answers.append(give_back(session)))
+    scratch = Scratch(spark, "test-memory")
+    scratch.keep(spark.range(3), "three")
+    scratch.drop()
+    version = spark.sparkContext._jvm.java.lang.System.getProperty("java.version")
+    assert answers == [True] if version.startswith("17.0.19") else len(answers) == 1
