@@ -77,7 +77,7 @@ def _addresses(text: str) -> Iterator[Span]:
         for i in range(0, len(parts) - 3, 4):
             four = parts[i : i + 4]
             end = at + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in four):
                 yield at, 1, end
             at = end + 1
 
@@ -411,25 +411,29 @@ def _spans_of_rows(model: crf.Crf, texts: pa.Array) -> list[tuple[list[Span], li
     return out
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = ", ".join(["doc_id long", *(f"n_{k} long" for k in KINDS), "base_sha256 string", "spans string", *(f"base_{k} long" for k in KINDS)])
+
+
+def _counts(spans: list[list[Span]]) -> list[pa.Array]:
+    """For each kind, how many of each text's spans are of it."""
+    return [pa.array([sum(s[1] == k for s in own) for own in spans], pa.int64()) for k in range(len(KINDS))]
 
 
 def find_pii(documents: DataFrame, model: crf.Crf | None = None) -> DataFrame:
-    """Counts over all spans, a digest of the base spans, and all spans, for each document."""
+    """Counts over all spans, a digest of the base spans, all spans, and counts over the base spans, for each document."""
     model = model or train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.release()
         for part in ta.blocks(batches):
             found = _spans_of_rows(model, ta.text_column(part))
-            counts = [[sum(s[1] == k for s in every) for _, every in found] for k in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), *(pa.array(c, pa.int64()) for c in counts),
+                    part.column(0), *_counts([every for _, every in found]),
                     pa.array([hashlib.sha256(render(base).encode()).hexdigest() for base, _ in found], pa.string()),
-                    pa.array([render(every) for _, every in found], pa.string()),
+                    pa.array([render(every) for _, every in found], pa.string()), *_counts([base for base, _ in found]),
                 ],
-                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", *(f"base_{k}" for k in KINDS)],
             )
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)

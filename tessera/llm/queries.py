@@ -78,9 +78,11 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.pii import find_pii
+    """Counts and digest tell of the base spans, which the contract fixes; `all_<kind>` count the field's spans too."""
+    from tessera.llm.pii import KINDS, find_pii
 
-    return find_pii(_table(spark, sf_dir, "documents"))
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.col(f"base_{k}").alias(f"n_{k}") for k in KINDS], "base_sha256", "spans", *[F.col(f"n_{k}").alias(f"all_{k}") for k in KINDS])
 
 
 def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
