@@ -87,3 +87,19 @@ def test_packing(stages):
 
 def test_run(spark, sf, stages):
     assert corpus_pipeline.run(spark, sf).count() == stages[5].count()
+
+
+def test_tables_between_stages_have_small_row_groups(spark, tmp_path):
+    """A task holds a row group of what it reads and of what it writes; with those of 128 MB, eight tasks exceeded 1 GB."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    letters = F.translate(F.sha2(F.col("id").cast("string"), 512), "0123456789", "ghijklmnop")
+    docs = spark.range(0, 400_000, 1, 1).select((F.col("id") / 1000).cast("long").alias("doc_id"), letters.alias("t")).groupBy("doc_id").agg(F.array_join(F.collect_list("t"), " ").alias("text")).coalesce(1)
+    corpus_pipeline.pii_stage(spark, docs, "").write.parquet(f"{tmp_path}/kept")
+    (file,) = glob.glob(f"{tmp_path}/kept/*.parquet")
+    told = pq.ParquetFile(file).metadata
+    sizes = [told.row_group(k).total_byte_size for k in range(told.num_row_groups)]
+    assert told.num_rows == 400 and sum(sizes) > 40e6 and max(sizes) < 30e6
